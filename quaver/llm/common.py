@@ -107,9 +107,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        n = max(n, 1 << 16)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, base, np.uint64)
+            p = np.full(max(n, 1 << 16), base, np.uint64)
             p[0] = 1
             _powers[k] = np.cumprod(p)
     return _powers[0][:n], _powers[1][:n]
