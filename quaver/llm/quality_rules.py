@@ -34,7 +34,7 @@ COMMON = {
 CLASSES = 11
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS_BASE, REPEAT_PERCENT = 50, 50
-MIN_CHARS, MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MAX_LANGS = 200, 100, 0.35, 0.75, 64
+MIN_CHARS, MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MAX_LANGS = 200, 100, 0.28, 0.42, 64
 
 
 def _classes() -> np.ndarray:
