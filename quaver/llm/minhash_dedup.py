@@ -13,7 +13,8 @@
 5. What can still be missed are links between members of one list that are in different components. With D = the symmetric
    difference to the hub, known exactly, |x ^ y| >= |Dx| + |Dy| - 2 min(|Dx| - ux, |Dy| - uy), u the shingles of one class
    only. Members for which that rules out everyone in the list go without being paired; the rest outside the hub's component
-   are paired with list members in other components if the bound allows, filtered by the estimate from the union sketch,
+   are paired with list members in other components if that bound and the one from parity maps (bits that differ between
+   two sets' parities never outnumber their symmetric difference) allow it, filtered by the estimate from the union sketch,
    and confirmed on whole sets. So groups of near copies cost about their size, and no link is lost to a cap.
 
 Nulls and texts without words have no shingles and are linked with nothing; fewer words than a shingle are one shingle. Rows
@@ -35,6 +36,8 @@ from .common import SHINGLE, WHITE, Words, broadcast_if_small, chunks, lists, ma
 from .graph import connected_components
 
 K = 64
+#: Bits of a whole set's parity map.
+BITS = 1024
 #: Standard deviations of a binomial that a sketch's count may fall below its mean.
 SLACK = 5.0
 
@@ -49,27 +52,30 @@ def least_shared(k: int, percent: int, whole: bool = False) -> int:
 
 def _sets(n: int, k: int | None):
     """Per document: size, digest and sketch of its set of shingles (k None: the whole set), sorted as unsigned numbers."""
-    names = [("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("values", pa.list_(pa.int64()))]
-    out = pa.schema(names)
+    out = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("values", pa.list_(pa.int64()))] + ([("parity", pa.list_(pa.int64()))] if k is None else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = string_buffers(batch.column(1))
             for i, j, raw, at in chunks(buf, offsets):
                 words = Words(raw, at, WHITE, lower=True)
-                size, digest, values = [], [], []
+                size, digest, values, parity = [], [], [], []
                 for d in range(j - i):
                     own = np.unique(shingles(words.hash[words.first[d] : words.first[d + 1]], n))
                     size.append(len(own))
                     digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     values.append((own if k is None else own[:k]).view(np.int64))
-                columns = [batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists(values, pa.int64())]
+                    if k is None:
+                        odd = np.bincount((own & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+                        parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                columns = [batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists(values, pa.int64())] + ([lists(parity, pa.int64())] if k is None else [])
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     return run
 
 
 _SET = "key bigint, n bigint, digest binary, values array<bigint>"
+_WHOLE = f"{_SET}, parity array<bigint>"
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -122,10 +128,10 @@ def _candidates(docs: DataFrame, percent: int, k: int, n: int) -> tuple[DataFram
     alive = materialize(shared.where(F.col("s") >= least).select("rep"), "alive")
     chosen = broadcast_if_small(alive, alive.count())
     # a repeated doc_id may stand for several texts; the class's digest tells which is meant
-    wanted = rows.join(chosen, rows["key"] == chosen["rep"], "left_semi").mapInArrow(_sets(n, None), _SET)
+    wanted = rows.join(chosen, rows["key"] == chosen["rep"], "left_semi").mapInArrow(_sets(n, None), _WHOLE)
     reps = classes.join(chosen, "rep", "left_semi").select(F.col("rep"), "digest")
     sets = wanted.join(reps, (wanted["key"] == reps["rep"]) & (wanted["digest"] == reps["digest"]), "left_semi")
-    return sketched, materialize(sets.groupBy(F.col("key").alias("rep")).agg(F.min("n").alias("n"), F.min("values").alias("values")), "sets")
+    return sketched, materialize(sets.groupBy(F.col("key").alias("rep")).agg(F.min("n").alias("n"), F.min("values").alias("values"), F.min("parity").alias("parity")), "sets")
 
 
 def _links(sets: DataFrame, percent: int, k: int) -> DataFrame:
@@ -142,15 +148,19 @@ def _links(sets: DataFrame, percent: int, k: int) -> DataFrame:
     placed = members.join(d, ["rep", "hub"], "left").na.fill(0, ["d"]).join(label.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.select("value", "rep", "hub", "n", "own", "d", F.coalesce("component", "rep").alias("c"))
     home = label.select(F.col("node").alias("hub"), F.col("component").alias("home"))
-    placed = materialize(placed.join(home, "hub", "left").withColumn("home", F.coalesce("home", "hub")), "placed")
+    placed = placed.join(home, "hub", "left").withColumn("home", F.coalesce("home", "hub"))
+    mixed = placed.groupBy("value").agg(F.max(F.col("c") != F.col("home")).alias("mixed")).where("mixed").select("value")
+    placed = materialize(placed.join(mixed, "value", "left_semi").join(sets.select("rep", "parity"), "rep"), "placed")
     room = (100 - percent) / (100 + percent)  # a link leaves at most room * (nx + ny) in the symmetric difference
     span = placed.groupBy("value").agg(F.min("d").alias("d_least"), F.max("n").alias("n_most"))
     minor = placed.where("c <> home").join(span, "value")
     minor = minor.where(F.col("d") + F.col("d_least") - 2 * (F.col("d") - F.col("own")) <= room * (F.col("n") + F.col("n_most")))
-    x, y = (t.select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "own", "d", "c"))) for t, s in ((minor, "x"), (placed, "y")))
+    x, y = (t.select("value", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "own", "d", "c", "parity"))) for t, s in ((minor, "x"), (placed, "y")))
     bound = F.expr(f"d_x + d_y - 2 * least(d_x - own_x, d_y - own_y) <= {room!r} * (n_x + n_y) and own_x + own_y <= {room!r} * (n_x + n_y)")
     near = F.expr(f"100 * n_x >= {percent} * n_y and 100 * n_y >= {percent} * n_x")
-    pairs = x.join(y, (x["value"] == y["value"]) & (F.col("c_x") != F.col("c_y")) & bound & near)
+    # each element of the symmetric difference changes one bit of parity, so the bits that differ are never more than it
+    differ = F.aggregate(F.zip_with("parity_x", "parity_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+    pairs = x.join(y, (x["value"] == y["value"]) & (F.col("c_x") != F.col("c_y")) & near & bound & (differ <= room * (F.col("n_x") + F.col("n_y"))))
     pairs = pairs.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
     late = materialize(_verified(pairs, sets, percent, k, estimate=True).where(_linked(percent)).select("a", "b"), "late")
     if late.isEmpty():
