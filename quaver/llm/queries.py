@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import ship
-from . import decontamination, language_id, minhash_dedup, packing, quality_rules, token_counts, toxicity
+from . import decontamination, language_id, line_dedup, minhash_dedup, packing, quality_rules, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -33,6 +37,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_minhash_dedup, op4_language_id, op5_quality_rules, op7_packing, op8_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_minhash_dedup, op4_language_id, op5_quality_rules, op6_warc, op7_packing, op8_token_counts, op10_toxicity)}
 
 
 _LOWER_AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -98,5 +106,21 @@ FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id
 """
 
 
+#: The last part is the base-32 form of a hexadecimal SHA-1: 5 hexadecimal digits are 4 letters.
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), f AS (
+  SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS first FROM p
+), x AS (
+  SELECT *, sha1(h) AS d FROM f
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(d, CAST(5 * (i // 4) + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_minhash_dedup": OP3_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_minhash_dedup": OP3_SQL, "op6_warc": OP6_SQL}
