@@ -10,6 +10,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ BROADCAST_ROWS = 50_000
 #: Bytes of text that are scanned at once.
 CHUNK = 1 << 21
 
-_scratch: dict[int, list[str]] = {}
+_scratch: dict[str, list[str]] = {}
+_scope = ["session"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,31 +37,38 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Scratch tables made within belong to name, and go with release(spark, name)."""
+    _scope.append(name)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed by release() or at exit."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _scratch:
         atexit.register(_at_exit)
-    _scratch.setdefault(0, []).append(path)
+    _scratch.setdefault(_scope[-1], []).append(path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Removes the scratch tables made so far. Only for callers whose earlier results are already written out."""
-    for path in _scratch.pop(0, []):
-        _remove(spark, path)
+def release(spark: SparkSession, name: str) -> None:
+    """Removes the scratch tables of a scope. Only for callers whose results of that scope are written out."""
+    for path in _scratch.pop(name, []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _at_exit() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None:
         try:
-            release(spark)
+            for name in list(_scratch):
+                release(spark, name)
         except Exception as e:  # the JVM may be gone already; the folder is temporary anyway
             print(f"scratch tables stay: {type(e).__name__}")
 

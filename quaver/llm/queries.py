@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import ship
-from . import decontamination, language_id, line_dedup, minhash_dedup, packing, quality_rules, token_counts, toxicity, warc
+from . import decontamination, language_id, line_dedup, minhash_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +49,22 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_minhash_dedup, op4_language_id, op5_quality_rules, op6_warc, op7_packing, op8_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_minhash_dedup, op4_language_id, op5_quality_rules, op6_warc, op7_packing, op8_token_counts, op9_substring_dedup, op10_toxicity, pipeline)}
 
 
 _LOWER_AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
