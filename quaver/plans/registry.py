@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from . import retrieval, texts
 
-def oracle_sql():
-    return {}
+_PLANS = (texts, retrieval)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
