@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+NUDGE = 1e-9
 #: The key of a task.
 TASK = ["session_id", "turn_number"]
 
@@ -16,9 +17,11 @@ def top(df: DataFrame, keys: list[str], order: list[Column], k: int | None, rank
 
 
 def scored_top(scored: DataFrame, k: int | None, keys: list[str] | None = None, popularity: DataFrame | None = None, digits: int = 6) -> DataFrame:
-    """Top k by score, rounded first so that float sums in another order can't flip a tie; then popularity, then item_id."""
+    """Top k by score, rounded first so that float sums in another order can't flip a tie; then popularity, then item_id.
+
+    Sums of simple weights may end in exactly a half at the last digit; the nudge before rounding makes all of these go up."""
     keys = keys or TASK
-    s = scored.withColumn("score", F.round("score", digits))
+    s = scored.withColumn("score", F.round(F.col("score") + NUDGE, digits))
     if popularity is not None:
         s = s.join(popularity, "item_id", "left").withColumn("popularity", F.coalesce("popularity", F.lit(0.0)))
         return top(s, keys, [F.desc("score"), F.desc("popularity"), F.asc("item_id")], k).select(*keys, "item_id", "rank", "score")

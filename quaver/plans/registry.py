@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval, texts
+from . import audits, behaviour, ranking, retrieval, texts
 
-_PLANS = (texts, retrieval)
+_PLANS = (texts, retrieval, behaviour, ranking, audits)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

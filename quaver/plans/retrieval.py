@@ -106,7 +106,7 @@ def _bm25(docs: str, queries: str, keys: str, k: int) -> str:
     return f"""WITH dt AS (SELECT item_id, {_TOK.format("text")} AS tokens FROM ({docs})), st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM dt),
       po AS (SELECT item_id, term, dl, count(*) AS tf FROM (SELECT item_id, len(tokens) AS dl, unnest(tokens) AS term FROM dt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
       q AS (SELECT DISTINCT {keys}, unnest({_TOK.format("text")}) AS term FROM ({queries})),
-      sc AS (SELECT {keys}, item_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score FROM q JOIN po USING (term) JOIN df USING (term), st GROUP BY {keys}, item_id)
+      sc AS (SELECT {keys}, item_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))) + 1e-9, 6) AS score FROM q JOIN po USING (term) JOIN df USING (term), st GROUP BY {keys}, item_id)
       SELECT {keys}, item_id, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, item_id) AS INT) AS rank, score FROM sc QUALIFY rank <= {k}"""
 
 
