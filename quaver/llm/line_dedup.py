@@ -3,7 +3,7 @@
 Lines are split at line feeds into blank-separated tokens; tokens with a digit are variable fields (<*>) from the start. The
 tree has a fixed depth: a line goes down by its number of tokens, then by its first `depth` tokens, to a leaf. In a leaf that
 at least min_docs documents reach, a token that fewer than min_docs documents have at its position is a variable field too; if
-at least `similar` of the positions stay constant, the line's template is what is left, otherwise its own masked tokens. A
+at least `similar` of the positions stay constant, the line's template is what is left, otherwise the line as it is. A
 template that occurs in at least min_docs documents recurs: its lines are dropped from all documents but the one with the
 smallest doc_id, and, within that one, all but the first.
 
@@ -33,7 +33,7 @@ def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("string").alias("doc"), F.xxhash64(text).alias("mark"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     tokens = F.filter(F.split("line", _WHITE), lambda t: t != "")
     masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))
-    return rows.select("doc", "mark", "pos", masked.alias("tokens")).where(F.size("tokens") >= max(1, min_tokens))
+    return rows.select("doc", "mark", "pos", masked.alias("tokens"), F.xxhash64(tokens).alias("raw")).where(F.size("tokens") >= max(1, min_tokens))
 
 
 def templates(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -52,7 +52,7 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, sim
     general = F.transform("tokens", lambda t, i: F.when(F.array_contains(F.coalesce(F.try_element_at("known", i), F.array().cast("array<bigint>")), F.xxhash64(t)), t).otherwise("<*>"))
     joined = joined.withColumn("general", general)
     stays = F.size(F.filter("general", lambda t: t != "<*>")) >= similar * F.size("tokens")
-    return joined.select("doc", "mark", "pos", F.xxhash64(F.when(stays, F.col("general")).otherwise(F.col("tokens")), F.size("tokens")).alias("template"))
+    return joined.select("doc", "mark", "pos", F.when(stays, F.xxhash64("general")).otherwise(F.col("raw")).alias("template"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR, min_tokens: int = MIN_TOKENS) -> DataFrame:
