@@ -262,7 +262,7 @@ _WIDE = f"{_BASE}, wide AS (SELECT {_KEY}, item_id, 1.0::DOUBLE / rank AS a, pop
 _COS = "list_dot_product({0}, {1})"
 _UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))"
 _RUNS = "runs AS (SELECT strftime(o_orderdate, '%Y-%m') AS run, round(avg(o_totalprice) / 1e6, 6) AS ndcg, round(count(DISTINCT o_custkey) / 1e4, 6) AS catalog, round(avg((o_orderstatus = 'F')::INT), 6) AS lexical, round(1 + count(*) / 1e3, 6) AS judge FROM orders GROUP BY 1)"
-_PROTECT = f"SELECT {_KEY}, item_id, CAST(row_number() OVER (PARTITION BY {_KEY} ORDER BY CASE WHEN pr <= 3 THEN pr ELSE 4 END, score DESC, pr, item_id) AS INT) AS rank, pr AS primary_rank FROM (SELECT f.*, coalesce(c.rank, 9999) AS pr FROM fused f LEFT JOIN s1 c USING (session_id, turn_number, item_id)) QUALIFY rank <= 20"
+_PROTECT = f"SELECT * FROM (SELECT {_KEY}, item_id, CAST(row_number() OVER (PARTITION BY {_KEY} ORDER BY CASE WHEN pr <= 3 THEN pr ELSE 4 END, score DESC, pr, item_id) AS INT) AS rank, pr AS primary_rank FROM (SELECT f.session_id, f.turn_number, f.item_id, f.score, coalesce(c.rank, 9999) AS pr FROM fused f LEFT JOIN s1 c USING (session_id, turn_number, item_id))) WHERE rank <= 20"
 _QUOTA = f"""{_BASE}, g1 AS (SELECT {_KEY}, item_id, row_number() OVER (PARTITION BY {_KEY} ORDER BY rank) AS r FROM ({_rrf("(SELECT * FROM ranked WHERE source IN ('continuity', 'artist'))", 45)}) QUALIFY r <= 15),
   g2 AS (SELECT {_KEY}, item_id, row_number() OVER (PARTITION BY {_KEY} ORDER BY rank) AS r FROM ({_rrf("(SELECT * FROM ranked WHERE source = 'cross')", 24)}) x ANTI JOIN g1 USING (session_id, turn_number, item_id) QUALIFY r <= 8),
   tk AS (SELECT *, 0 AS g FROM g1 UNION ALL SELECT *, 1 FROM g2),
@@ -295,7 +295,7 @@ SQL = {
     "ltr_history": f"""{_BASE}, em AS (SELECT vec_id AS item_id, {_UNIT} AS v FROM embeddings), c AS (SELECT {_KEY}, item_id, artist, tags, v FROM fused JOIN items USING (item_id) LEFT JOIN em USING (item_id)),
       h AS (SELECT session_id, turn_number, artist AS ha, tags AS ht, v AS hv FROM history JOIN items USING (item_id) LEFT JOIN em USING (item_id))
       SELECT c.session_id, c.turn_number, c.item_id, coalesce(sum((artist = ha)::INT), 0)::DOUBLE AS f_same_artist, coalesce(sum(len(list_intersect(list_distinct(tags), ht))), 0)::DOUBLE AS f_same_tags, count(ha)::DOUBLE AS f_history,
-      round(coalesce(avg(greatest({_COS.format("v", "hv")}, 0)), 0), 6) AS f_mean_cosine, round(coalesce(max(greatest({_COS.format("v", "hv")}, 0)), 0), 6) AS f_max_cosine FROM c LEFT JOIN h USING (session_id, turn_number) GROUP BY ALL""",
+      round(coalesce(avg(greatest({_COS.format("v", "hv")}, 0)) FILTER (WHERE v IS NOT NULL AND hv IS NOT NULL), 0), 6) AS f_mean_cosine, round(coalesce(max(greatest({_COS.format("v", "hv")}, 0)) FILTER (WHERE v IS NOT NULL AND hv IS NOT NULL), 0), 6) AS f_max_cosine FROM c LEFT JOIN h USING (session_id, turn_number) GROUP BY ALL""",
     "group_zscore": f"{_WIDE} SELECT {_KEY}, item_id, round({_Z.format('a')}, 6) AS a, round({_Z.format('b')}, 6) AS b FROM wide WINDOW w AS (PARTITION BY {_KEY})",
     "blend": f"{_WIDE}, z AS (SELECT {_KEY}, item_id, round({_Z.format('a')}, 9) AS a, round({_Z.format('b')}, 9) AS b FROM wide WINDOW w AS (PARTITION BY {_KEY})), sc AS (SELECT {_KEY}, item_id, round(a * 0.7::DOUBLE + b * 0.3::DOUBLE, 6) AS score FROM z) SELECT {_KEY}, item_id, CAST(row_number() OVER (PARTITION BY {_KEY} ORDER BY score DESC, item_id) AS INT) AS rank, score FROM sc QUALIFY rank <= 20",
     "ndcg_multi": f"""{_BASE}, lb AS (SELECT DISTINCT t.session_id, t.turn_number, b.item_id AS label FROM tasks t JOIN items a ON a.item_id = t.label JOIN items b ON b.artist = a.artist),
@@ -317,9 +317,9 @@ SQL = {
     "composite": f"WITH {_RUNS}, c AS (SELECT *, 0.5 * ndcg + 0.1 * catalog + 0.1 * lexical + 0.3 * (judge - 1) / 4 AS composite FROM runs), b AS (SELECT * FROM c ORDER BY run LIMIT 1) SELECT c.run, round(c.composite, 6) AS composite, {', '.join(f'round((c.{x} - b.{x}) * {w}::DOUBLE, 6) AS d_{x}' for x, w in (('ndcg', 0.5), ('catalog', 0.1), ('lexical', 0.1), ('judge', 0.075)))}, round((c.composite - b.composite) / 0.5, 6) AS ndcg_equivalent FROM c, b",
     "resubmissions": "WITH l AS (SELECT c_custkey, concat_ws('|', c_mktsegment, c_nationkey) AS digest, max_by(left(o_orderpriority, 1), ROW(o_orderdate, o_orderkey)) AS judge FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2) SELECT digest, count(*) AS runs, count(DISTINCT judge) AS judges, min(judge) AS least, max(judge) AS most FROM l GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT judge) >= 2",
     "blind_probe": f"{_BASE}, {_HITS.format('s1')}, v AS (SELECT count(*) AS total, count(*) FILTER (WHERE turn_number <= 3) AS visible, sum(CASE WHEN turn_number <= 3 AND rank <= 20 THEN 1 / log2(rank + 1) ELSE 0 END) AS v FROM hits) SELECT total, visible, round(v, 6) AS visible_sum, round((v + (total - visible) * 0.25::DOUBLE) / total, 6) AS mixture, round((0.5::DOUBLE * total - v) / (total - visible), 6) AS required FROM v",
-    "chat_batch": f"""{_BASE}, {POPULAR}, x AS (SELECT * FROM fused), kept AS (SELECT {_KEY}, item_id, row_number() OVER (PARTITION BY {_KEY} ORDER BY rank) AS rank FROM x WHERE {_GONE} QUALIFY rank <= 20),
+    "chat_batch": f"""{_BASE}, {POPULAR}, x AS (SELECT * FROM fused), kept AS (SELECT {_KEY}, item_id, r AS rank FROM (SELECT {_KEY}, item_id, row_number() OVER (PARTITION BY {_KEY} ORDER BY rank) AS r FROM x WHERE {_GONE}) WHERE r <= 20),
       al AS (SELECT {_KEY}, item_id, rank, 0 AS pad FROM kept UNION ALL SELECT session_id, turn_number, item_id, pop_rank, 1 FROM (SELECT session_id, turn_number, item_id, pop_rank FROM tasks, pop WHERE pop_rank <= 60) ANTI JOIN kept USING (session_id, turn_number, item_id)),
-      f AS (SELECT {_KEY}, item_id, pad, row_number() OVER (PARTITION BY {_KEY} ORDER BY pad, rank, item_id) AS rank FROM al QUALIFY rank <= 20)
+      f AS (SELECT {_KEY}, item_id, pad, r AS rank FROM (SELECT {_KEY}, item_id, pad, row_number() OVER (PARTITION BY {_KEY} ORDER BY pad, rank, item_id) AS r FROM al) WHERE r <= 20)
       SELECT f.session_id, f.turn_number, string_agg(f.item_id::VARCHAR, ',' ORDER BY rank) AS items, sum(pad)::BIGINT AS n_pad, max(CASE WHEN rank = 1 THEN 'I think you''ll really enjoy "' || name || '" by ' || artist || ' — it lines up well with what you''re looking for. Want a few more in a similar vein?' END) AS response FROM f JOIN items i ON i.item_id = f.item_id GROUP BY ALL""",
     "dialogue_entities": f"""WITH w AS (SELECT conv_id AS session_id, turn AS seq, list_filter(string_split({NORM.format("text")}, ' '), lambda t: t <> '') AS w FROM conversations WHERE role = 'user' AND trim(text) <> ''),
       ph AS (SELECT DISTINCT session_id, seq, phrase FROM ({" UNION ALL ".join(f"SELECT session_id, seq, unnest({B._grams('w', n)}) AS phrase FROM w" for n in range(1, 9))}) WHERE length(phrase) >= 3),
