@@ -20,6 +20,7 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     sink = f"counts_{uuid.uuid4().hex}"
     query = windowed_counts(stream, "ts", ["event_type"]).writeStream.outputMode("complete").format("memory").queryName(sink).trigger(availableNow=True).start()
     query.awaitTermination()
