@@ -85,7 +85,7 @@ def _score(model: np.ndarray, cap: int):
             for i, j, raw, at in chunks(buf, offsets):
                 doc, bins = trigram_bins(raw, at)
                 n = np.bincount(doc, minlength=j - i)
-                ll = np.stack([np.bincount(doc, weights=weight[bins, k], minlength=j - i) for k in range(weight.shape[1])], axis=1)
+                ll = np.stack([np.bincount(doc, weights=weight[bins, k], minlength=j - i) for k in range(weight.shape[1])], axis=1).astype(float)
                 ll *= (np.minimum(n, cap) / np.maximum(n, 1))[:, None]
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * weight.shape[1], weight.shape[1], dtype=np.int32)), pa.array(ll.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(5)), flat], schema=out)
