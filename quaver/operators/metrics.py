@@ -92,11 +92,11 @@ def composite(ndcg: Column, catalog: Column, lexical: Column, judge: Column) ->
 
 
 def decomposition(runs: DataFrame) -> DataFrame:
-    """runs: run (order), ndcg, catalog, lexical, judge. Composite, its parts' differences to the first run, and what they are worth in nDCG."""
+    """runs: run (order), ndcg, catalog, lexical, judge. Composite, its parts' differences to the first run, and what they are worth in nDCG. Seven digits: halves of six-digit measures end there."""
     c = runs.withColumn("composite", composite(*(F.col(x) for x in ("ndcg", "catalog", "lexical", "judge"))))
     base = c.agg(F.min_by(F.struct("ndcg", "catalog", "lexical", "judge", "composite"), "run").alias("b"))
-    diff = lambda x, w: F.round((F.col(x) - F.col(f"b.{x}")) * w, 6).alias(f"d_{x}")
-    return c.crossJoin(F.broadcast(base)).select("run", F.round("composite", 6).alias("composite"), diff("ndcg", 0.5), diff("catalog", 0.1), diff("lexical", 0.1), diff("judge", 0.075), F.round((F.col("composite") - F.col("b.composite")) / 0.5, 6).alias("ndcg_equivalent"))
+    diff = lambda x, w: F.round((F.col(x) - F.col(f"b.{x}")) * w, 7).alias(f"d_{x}")
+    return c.crossJoin(F.broadcast(base)).select("run", F.round("composite", 7).alias("composite"), diff("ndcg", 0.5), diff("catalog", 0.1), diff("lexical", 0.1), diff("judge", 0.075), F.round((F.col("composite") - F.col("b.composite")) / 0.5, 7).alias("ndcg_equivalent"))
 
 
 def average_rank(c: str) -> Column:

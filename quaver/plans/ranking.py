@@ -314,7 +314,7 @@ SQL = {
     "validator": f"""{_BASE}, p AS (SELECT * FROM s1 WHERE rank <= 20), per AS (SELECT {_KEY}, count(*) AS n, max(rank) AS last FROM p GROUP BY ALL)
       SELECT {_KEY}, 'missing' AS violation FROM tasks ANTI JOIN per USING (session_id, turn_number) UNION ALL SELECT {_KEY}, 'length' FROM per WHERE n <> 20 UNION ALL SELECT DISTINCT {_KEY}, 'not in catalog' FROM p JOIN items USING (item_id) WHERE popularity <= 20""",
     "correlations": _CORR,
-    "composite": f"WITH {_RUNS}, c AS (SELECT *, 0.5 * ndcg + 0.1 * catalog + 0.1 * lexical + 0.3 * (judge - 1) / 4 AS composite FROM runs), b AS (SELECT * FROM c ORDER BY run LIMIT 1) SELECT c.run, round(c.composite, 6) AS composite, {', '.join(f'round((c.{x} - b.{x}) * {w}::DOUBLE, 6) AS d_{x}' for x, w in (('ndcg', 0.5), ('catalog', 0.1), ('lexical', 0.1), ('judge', 0.075)))}, round((c.composite - b.composite) / 0.5, 6) AS ndcg_equivalent FROM c, b",
+    "composite": f"WITH {_RUNS}, c AS (SELECT *, 0.5 * ndcg + 0.1 * catalog + 0.1 * lexical + 0.3 * (judge - 1) / 4 AS composite FROM runs), b AS (SELECT * FROM c ORDER BY run LIMIT 1) SELECT c.run, round(c.composite, 7) AS composite, {', '.join(f'round((c.{x} - b.{x}) * {w}::DOUBLE, 7) AS d_{x}' for x, w in (('ndcg', 0.5), ('catalog', 0.1), ('lexical', 0.1), ('judge', 0.075)))}, round((c.composite - b.composite) / 0.5, 7) AS ndcg_equivalent FROM c, b",
     "resubmissions": "WITH l AS (SELECT c_custkey, concat_ws('|', c_mktsegment, c_nationkey) AS digest, max_by(left(o_orderpriority, 1), ROW(o_orderdate, o_orderkey)) AS judge FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2) SELECT digest, count(*) AS runs, count(DISTINCT judge) AS judges, min(judge) AS least, max(judge) AS most FROM l GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT judge) >= 2",
     "blind_probe": f"{_BASE}, {_HITS.format('s1')}, v AS (SELECT count(*) AS total, count(*) FILTER (WHERE turn_number <= 3) AS visible, sum(CASE WHEN turn_number <= 3 AND rank <= 20 THEN 1 / log2(rank + 1) ELSE 0 END) AS v FROM hits) SELECT total, visible, round(v, 6) AS visible_sum, round((v + (total - visible) * 0.25::DOUBLE) / total, 6) AS mixture, round((0.5::DOUBLE * total - v) / (total - visible), 6) AS required FROM v",
     "chat_batch": f"""{_BASE}, {POPULAR}, x AS (SELECT * FROM fused), kept AS (SELECT {_KEY}, item_id, r AS rank FROM (SELECT {_KEY}, item_id, row_number() OVER (PARTITION BY {_KEY} ORDER BY rank) AS r FROM x WHERE {_GONE}) WHERE r <= 20),
