@@ -18,31 +18,36 @@ row keeps goes from none of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize
 
 MIN_DOCS, DEPTH, SIMILAR, MIN_TOKENS = 10, 3, 0.7, 3
-_WHITE = r"[\x20\x09-\x0D]+"
+_BLANKS = "\t\x0b\x0c\r"
 
 
-def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """(doc, mark, pos, tokens) of all lines of at least min_tokens tokens."""
+def _mask(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))
+
+
+def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+    """(doc, mark, pos, tokens, leaf) of all lines of at least min_tokens tokens. Each line is split once: the leaf is made with
+    it, inside the generator, where no filter that is pushed down repeats it."""
     text = docs["text"].cast("string")
-    rows = docs.select(docs["doc_id"].cast("string").alias("doc"), F.xxhash64(text).alias("mark"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    tokens = F.filter(F.split("line", _WHITE), lambda t: t != "")
-    masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))
-    return rows.select("doc", "mark", "pos", masked.alias("tokens"), F.xxhash64(tokens).alias("raw")).where(F.size("tokens") >= max(1, min_tokens))
+    split = F.transform(F.split(text, "\n"), lambda line: F.array_remove(F.split(F.translate(line, _BLANKS, " " * len(_BLANKS)), " "), ""))
+    leaf = lambda t: F.when(F.size(t) >= max(1, min_tokens), F.xxhash64(F.size(t), _mask(F.slice(t, 1, depth))))
+    rows = F.transform(split, lambda t, i: F.struct(i.alias("pos"), t.alias("tokens"), leaf(t).alias("leaf")))
+    return docs.select(docs["doc_id"].cast("string").alias("doc"), F.xxhash64(text).alias("mark"), F.inline(rows)).where("leaf is not null")
 
 
 def templates(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(doc, mark, pos, template): every line whose template recurs; template is a 64-bit hash of it."""
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth))
-    lines = _lines(docs, min_tokens).withColumn("leaf", leaf)
+    lines = _lines(docs, depth, min_tokens)
     reached = lines.select("doc", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     reached = materialize(reached, "leaves")
-    busy = materialize(lines.join(broadcast_if_small(reached, reached.count()), "leaf", "left_semi"), "busy-lines")
+    busy = lines.join(broadcast_if_small(reached, reached.count()), "leaf", "left_semi")
+    busy = materialize(busy.select("doc", "mark", "pos", "leaf", F.xxhash64("tokens").alias("raw"), _mask(F.col("tokens")).alias("tokens")), "busy-lines")
     spots = busy.select("doc", "leaf", F.posexplode("tokens").alias("at", "token")).select("doc", "leaf", "at", F.xxhash64("token").alias("token"))
     constant = spots.distinct().groupBy("leaf", "at", "token").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     constant = constant.groupBy("leaf", "at").agg(F.collect_set("token").alias("tokens"))
