@@ -3,9 +3,10 @@
 1. Every document becomes its set of 64-bit shingle hashes; the hash is the one function, so its k smallest are the sketch.
    Equal sets (a 128-bit digest of the whole set) are one class from here on, however many copies there are.
 2. Inverted lists of retained values: a value held by one class only shows that it has no partner there. Of a document with
-   a partner of similarity s, k retained values hold about s k shared ones, so a class with fewer than least(k) shared
-   retained values has no partner and goes (for a link at the threshold the chance of that is below 1e-5, from the binomial;
-   sketches of whole sets decide exactly).
+   a partner of similarity s, k retained values hold about s k shared ones, so a class of more than k shingles with fewer than
+   least(k) shared retained values has no partner and goes (for a link at the threshold the chance of that is below 1e-5, from
+   the binomial). Of a class of at most k shingles all are retained, and its partner's sketch lacks at most the partner's
+   shingles beyond k: a certain bound.
 3. The few classes left are read in full. Exact numbers of shingles that no other class has bound every similarity from above,
    and a prefix of the rarest shared ones is all that is listed (two sets with the similarity share a value of both prefixes).
 4. Each list has a hub, the class with the smallest part of shingles of its own. Members meet the hub, not one another: one
@@ -42,14 +43,19 @@ BITS = 1024
 SLACK = 5.0
 
 
-def least_shared(k: int, percent: int, whole: bool = False) -> int:
-    """The fewest of k retained values that a document shares if it has a partner."""
+def least_shared(k: int, percent: int) -> int:
+    """The fewest of k retained values that a document of more shingles shares if it has a partner."""
     s = percent / 100
-    if whole:
-        return -(-k * percent // 100)
     return max(1, math.floor(s * k - SLACK * math.sqrt(k * s * (1 - s))))
 
 
+def least_shared_whole(n: int, k: int, percent: int) -> int:
+    """The fewest of all n <= k shingles that a document shares with sketches if it has a partner. A partner of m shingles shares
+    at least percent (n + m) / (100 + percent) and retains all but m - k of its own."""
+    sizes = range(-(-n * percent // 100), 100 * n // percent + 1)
+    return max(1, min((-(-percent * (n + m) // (100 + percent)) - max(0, m - k) for m in sizes), default=1))
+
+
 def _sets(n: int, k: int | None):
     """Per document: size, digest and sketch of its set of shingles (k None: the whole set), sorted as unsigned numbers."""
     out = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("values", pa.list_(pa.int64()))] + ([("parity", pa.list_(pa.int64()))] if k is None else []))
@@ -123,7 +129,7 @@ def _candidates(docs: DataFrame, percent: int, k: int, n: int) -> tuple[DataFram
     classes = sketched.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("rep"), F.min("n").alias("n"), F.min("values").alias("values"))
     classes = materialize(classes, "classes")
     shared = _shared(classes.select("rep", "n", F.explode("values").alias("value"))).groupBy("rep", "n").agg(F.count("*").alias("s"))
-    sizes = [least_shared(i, percent, True) for i in range(k + 1)]
+    sizes = [least_shared_whole(i, k, percent) for i in range(k + 1)]
     least = F.when(F.col("n") <= k, F.element_at(F.array(*map(F.lit, sizes)), F.least(F.col("n"), F.lit(k)).cast("int") + 1)).otherwise(least_shared(k, percent))
     alive = materialize(shared.where(F.col("s") >= least).select("rep"), "alive")
     chosen = broadcast_if_small(alive, alive.count())

@@ -68,6 +68,19 @@ def test_components_are_those_of_all_pairs(spark, percent):
     assert [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows] == [(i, sizes[i], want[i], want[i] == i) for i in range(len(texts))]
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_partners_of_more_shingles_than_a_sketch_holds(spark, percent):
+    texts = []
+    for n in range(60, 67):
+        for i in range(5):
+            ws = [f"n{n}x{i}w{j}" for j in range(100 * n // percent + 4)]
+            texts += [" ".join(ws[: n + 4]), " ".join(ws)]
+    want, sizes = components(texts, percent)
+    assert all(want[i] == i - i % 2 for i in range(len(texts)))
+    rows = sorted(minhash_dedup.near_duplicates(documents(spark, texts), percent).collect())
+    assert [(r.n_shingles, r.component_id) for r in rows] == list(zip(sizes, want, strict=True))
+
+
 def test_one_of_each_group_stays(spark):
     texts = near_texts()
     want, _ = components(texts, 80)
