@@ -168,6 +168,24 @@ def test_copies_and_near_passages(spark):
     assert {r.doc_id for r in rows} == {0, 1, 4, 5}
 
 
+def planted(k, n, every=45):
+    """A passage of n words and a near copy, one word in `every` changed: no 46 words are the same, 50 are similar."""
+    w = [f"p{k}w{i}" for i in range(n)]
+    return w, [f"q{k}w{i}" if i % every == every - 1 else x for i, x in enumerate(w)]
+
+
+def test_near_passages_meet_beyond_their_hubs(spark):
+    first, second, hubs = [], [], []
+    for k in range(24):
+        a, b = planted(k, 89)
+        hubs.append(" ".join(f"h{k}w{i}" if i % 15 == 14 else x for i, x in enumerate(a)))
+        first.append(prose(60, 300 + k) + " " + " ".join(a))
+        second.append(prose(60, 600 + k) + " " + " ".join(b))
+    rows = substring_dedup.repeated_passages(documents(spark, hubs + first + second)).collect()
+    found = {r.doc_id for r in rows if r.kind == "near"}
+    assert found == set(range(24, 72))
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring_dedup.repeated_passages(documents(spark, [])).count() == 0
 
