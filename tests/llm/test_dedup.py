@@ -186,6 +186,23 @@ def test_near_passages_meet_beyond_their_hubs(spark):
     assert found == set(range(24, 72))
 
 
+def test_near_passages_are_reported_whole(spark):
+    a, b = planted(1, 2000)
+    rows = substring_dedup.repeated_passages(documents(spark, [" ".join(a), " ".join(b)])).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.kind, r.class_id) for r in rows) == [(0, 0, 2000, "near", 0), (1, 0, 2000, "near", 0)]
+
+
+def test_windows_beside_a_spot_are_all_compared():
+    rng = random.Random(1)
+    for _ in range(100):
+        a = [rng.randrange(60) if rng.random() < 0.3 else i for i in range(rng.randrange(20, 120))]
+        b = [7] * rng.randrange(9) + [rng.randrange(1000) if rng.random() < 0.08 else x for x in a]
+        spots = {(x, y) for x in range(len(a)) for y in range(len(b)) if a[x] == b[y] and rng.random() < 0.1}
+        got = {(x, d) for s, e, d in substring_dedup._similar(a, b, spots, 10, 60) for x in range(s, e + 1)}
+        near = {(x, d) for d in {x - y for x, y in spots} for x in range(max(0, d), min(len(a), len(b) + d) - 9) if substring_dedup._alike(a[x : x + 10], b[x - d : x - d + 10], 60)}
+        assert {(x, d) for x, d in near if any(x <= c < x + 10 and c - y == d for c, y in spots)} <= got <= near
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring_dedup.repeated_passages(documents(spark, [])).count() == 0
 
