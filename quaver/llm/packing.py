@@ -7,13 +7,15 @@ target, so every window has the target mixture as closely as its quanta allow. Q
 others, so every id is packed.
 
 This schedule has a closed form, which is what makes it parallel. Quantum c of queue s is due at (c + 1) / w_s; quanta are
-served by due time, ties in queue order. The ids before quantum (s, c) are the sum over queues t of min(T_t, q * n_t), where n_t
+served by due time, ties in queue order (larger queues first). The ids before quantum (s, c) are the sum over queues t of min(T_t, q * n_t), where n_t
 = floor((c + 1) w_t / w_s), or one less on a tie if t comes after s. So a document's place needs only the totals T (one number
 a queue) and its offset in its queue (a prefix sum of partition totals), and no task ever sees more than its own documents.
+Queues of equal weight are summed together, so many small sources cost little more than their distinct weights (targets are
+held in parts of 2^SHARE_BITS).
 
 The output leaves no gap: only the last sequence can be short, so padding is less than one sequence for the whole corpus.
-Sources beyond max_queues are dealt to max_queues queues by a hash. Null or empty texts are one id, the end mark. A null
-source is a queue of its own. Repeated rows are packed like any others. An empty table gives no rows.
+Every source is a queue, however many there are (max_queues is accepted and has no effect). Null or empty texts are one id,
+the end mark. A null source is a queue of its own. Repeated rows are packed like any others. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -55,11 +57,10 @@ def _tokenise(path: str, end: int):
     return run
 
 
-def tokenised(docs: DataFrame, path: str | None = None, end: int = END, max_queues: int = MAX_QUEUES) -> DataFrame:
+def tokenised(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
     """A table (doc, queue, part, at, n, ids): each text's ids, and where they start among the partition's ids of the queue."""
     source = docs["source"].cast("string")
-    few = docs.select(source.alias("s")).distinct().limit(max_queues + 1).count() <= max_queues
-    queue = F.coalesce(F.concat(F.lit("s:"), source), F.lit("-")) if few else F.concat(F.lit("h:"), F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string"))
+    queue = F.coalesce(F.concat(F.lit("s:"), source), F.lit("-"))
     rows = docs.select(docs["doc_id"].cast("string").alias("doc"), queue.alias("queue"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     made = rows.mapInArrow(_tokenise(path or default_tokenizer(), end), "doc string, queue string, part int, at bigint, n bigint, ids binary")
     return materialize(made, "tokens")
@@ -69,22 +70,35 @@ class Schedule:
     """Places of ids: totals by queue name, and target weights (by default each queue's share of all ids)."""
 
     def __init__(self, totals: dict[str, int], weights: dict[str, float] | None = None, quantum: int = QUANTUM):
-        self.names = sorted(totals)
+        self.names = sorted(totals, key=lambda n: (-totals[n], n))
         self.index = {n: i for i, n in enumerate(self.names)}
         self.total = np.array([totals[n] for n in self.names], np.int64)
         w = np.array([(weights or totals).get(n, 0) for n in self.names], float)
         self.weight = np.maximum(1, np.round(w / max(w.sum(), 1e-300) * (1 << SHARE_BITS))).astype(np.int64)
         self.quantum = quantum
+        # queues of one weight, in order, which is from the largest down, and the sums of their totals
+        order = np.argsort(self.weight, kind="stable")
+        self.groups = np.split(order, np.flatnonzero(np.diff(self.weight[order])) + 1) if len(order) else []
+        self.sums = [np.concatenate([[0], np.cumsum(self.total[g])]) for g in self.groups]
 
     def place(self, s: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Ids before quantum c of queue s, for arrays of both."""
-        before = np.minimum(self.total[s], c * self.quantum)
-        for t in range(len(self.names)):
-            due = (c + 1) * self.weight[t]
-            n = np.where(t < s, due // self.weight[s], -(-due // self.weight[s]) - 1)
-            before += np.where(t == s, 0, np.minimum(self.total[t], n * self.quantum))
+        before = np.zeros(len(s), np.int64)
+        for g, sums in zip(self.groups, self.sums, strict=True):
+            due = (c + 1) * self.weight[g[0]]
+            n = -(-due // self.weight[s]) - 1  # quanta of each queue that are due earlier
+            before += self._served(g, sums, n, np.full(len(s), len(g)))
+            # on a tie, queues in front of s have one more
+            front = np.where(due % self.weight[s] == 0, np.searchsorted(g, s), 0)
+            tied = np.flatnonzero(front)
+            before[tied] += self._served(g, sums, n[tied] + 1, front[tied]) - self._served(g, sums, n[tied], front[tied])
         return before
 
+    def _served(self, g: np.ndarray, sums: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Ids in the first n quanta of each of the first k queues of a group."""
+        full = np.minimum(k, np.searchsorted(-self.total[g], -n * self.quantum, side="right"))
+        return full * n * self.quantum + sums[k] - sums[full]
+
     def pieces(self, s: np.ndarray, start: np.ndarray, n: np.ndarray, sequence: int) -> tuple[np.ndarray, ...]:
         """(row, start in document, length, place) of the pieces of documents that lie at start in queue s with n ids."""
         q = self.quantum
@@ -141,9 +155,9 @@ def pack(docs: DataFrame, path: str | None = None, weights: dict[str | None, flo
     the sequence, and with_ids its ids (little-endian unsigned 32-bit). weights: target shares by source; by default the corpus's own."""
     if quantum > sequence:
         raise ValueError("a quantum is at most a sequence")
-    rows = tokenised(docs, path, end, max_queues)
+    rows = tokenised(docs, path, end)
     parts = materialize(rows.groupBy("part", "queue").agg(F.sum("n").alias("ids")), "token-parts")
-    totals = {r.queue: r.total for r in parts.groupBy("queue").agg(F.sum("ids").alias("total")).collect()}  # at most max_queues rows
+    totals = {r.queue: r.total for r in parts.groupBy("queue").agg(F.sum("ids").alias("total")).collect()}  # one row a source
     named = {("-" if k is None else f"s:{k}"): v for k, v in weights.items()} if weights else None
     schedule = Schedule(totals, named, quantum)
     from pyspark.sql import Window

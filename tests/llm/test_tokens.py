@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 from hypothesis import given, settings
@@ -101,6 +102,31 @@ def test_schedule_is_deficit_round_robin():
         at += min(10, totals[k] - start)
 
 
+def test_schedule_of_many_queues_of_equal_weights():
+    rng = np.random.default_rng(4)
+    totals = {f"q{i}": int(x) for i, x in enumerate(rng.integers(1, 60, 80))}
+    for weights in (None, {k: i % 3 + 1.0 for i, k in enumerate(totals)}):
+        s = packing.Schedule(totals, weights, quantum=10)
+        due = sorted((Fraction(c + 1, int(s.weight[i])), i, c) for i, k in enumerate(s.names) for c in range(-(-totals[k] // 10)))
+        sizes = [min(10, totals[s.names[i]] - 10 * c) for _, i, c in due]
+        got = s.place(np.array([i for _, i, _ in due]), np.array([c for _, _, c in due]))
+        assert got.tolist() == [sum(sizes[:j]) for j in range(len(sizes))]
+
+
+def test_weights_hold_for_more_sources_than_256(spark):
+    texts = [prose(100, i) for i in range(40)] + [prose(2, i) for i in range(300)]
+    sources = ["big" if i % 2 else "small" for i in range(40)] + [f"x{i}" for i in range(300)]
+    docs = documents(spark, texts, sources=sources)
+    rows = packing.pack(docs, sequence=512, quantum=64, weights={"big": 0.75, "small": 0.25}).collect()
+    check_pack(rows, list(enumerate(texts)), 512)
+    assert {r.queue for r in rows} == {f"s:{x}" for x in sources}
+    held = defaultdict(int)
+    for r in rows:
+        held[r.sequence_id, r.queue] += r.length
+    for k in range(2):
+        assert abs(held[k, "s:big"] - 384) <= 128 and abs(held[k, "s:small"] - 128) <= 128
+
+
 def test_pack_of_nothing(spark):
     assert packing.pack(documents(spark, [])).count() == 0
 
