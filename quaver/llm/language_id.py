@@ -9,8 +9,8 @@ posteriors of all documents, grouped soft counts give P(declared | language) and
 host towards its suffix, suffix towards the whole corpus, each with the weight of `pull` documents. The fused posterior is
 text x declared x host prior; a document is accepted if its best language is not "und" and has at least min_confidence.
 
-Scale: the text is read twice and never shuffled; all else are narrow rows. Counts are of at most max_langs languages x BINS
-bins, whatever the input. Host and declared tables are broadcast only if counted small; otherwise joined by a shuffle, where a
+Scale: the text is read twice and never shuffled; all else are narrow rows. Every declared language is learned, unless the
+caller sets max_langs; the model takes BINS numbers a language, and a task counts for at most BLOCK languages at a time. Host and declared tables are broadcast only if counted small; otherwise joined by a shuffle, where a
 hot host is split. Nulls: a text without letters has no text evidence and is "und"; null declared, suffix or host are values
 of their own. With no declared language anywhere nothing can be learned and every document is "und".
 """
@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, broadcast_if_small, chunks, materialize, string_buffers
+from .common import LOWER, broadcast_if_small, chunks, lists, materialize, string_buffers
 
-BINS, MAX_LANGS, EVIDENCE_CAP, PULL, MIN_CONFIDENCE = 8192, 16, 60, 20.0, 0.5
+BINS, BLOCK, EVIDENCE_CAP, PULL, MIN_CONFIDENCE = 8192, 64, 60, 20.0, 0.5
 UND = "und"
 
 _LETTER = LOWER.copy()
@@ -46,31 +46,47 @@ def trigram_bins(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return doc[:-2][own], bins[own].astype(np.int64)
 
 
-def _learn(langs: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {x: i for i, x in enumerate(langs)}
-        total = np.zeros((len(langs), BINS), np.int64)
-        for batch in batches:
-            buf, offsets = string_buffers(batch.column(1))
-            lang = np.array([index[x] for x in batch.column(0).to_pylist()], np.int64)
-            for i, _, raw, at in chunks(buf, offsets):
-                doc, bins = trigram_bins(raw, at)
-                total += np.bincount(lang[i + doc] * BINS + bins, minlength=total.size).reshape(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(total.tolist(), pa.list_(pa.int64()))], names=["lang", "counts"])
-
-    return run
-
-
-def train(docs: DataFrame, declared: str = "lang", text: str = "text", max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
-    """Languages (the most declared ones, by name) and the log probability of every bin in each; the last row is "und"."""
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[str, np.ndarray] = {}
+
+    def counted() -> pa.RecordBatch:
+        names = list(total)
+        counts = lists([total[x] for x in names], pa.int64()) if names else pa.array([], pa.list_(pa.int64()))
+        total.clear()
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), counts], names=["lang", "counts"])
+
+    for batch in batches:
+        buf, offsets = string_buffers(batch.column(1))
+        coded = batch.column(0).dictionary_encode()
+        names, lang = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        for i, _, raw, at in chunks(buf, offsets):
+            doc, bins = trigram_bins(raw, at)
+            of = lang[i + doc]
+            order = np.argsort(of, kind="stable")
+            held, first = np.unique(of[order], return_index=True)
+            for k, part in zip(held.tolist(), np.split(bins[order], first[1:]), strict=len(held) > 0):
+                if names[k] not in total:
+                    if len(total) >= BLOCK:
+                        yield counted()
+                    total[names[k]] = np.zeros(BINS, np.int64)
+                total[names[k]] += np.bincount(part, minlength=BINS)
+    yield counted()
+
+
+def train(docs: DataFrame, declared: str = "lang", text: str = "text", max_langs: int | None = None) -> tuple[list[str], np.ndarray]:
+    """Languages (all declared ones, or the max_langs most declared, by name) and the log probability of every bin in each; the
+    last row is "und"."""
     rows = docs.select(docs[declared].cast("string").alias("lang"), docs[text].cast("string").alias("text")).where(f"lang is not null and lang <> '{UND}' and text is not null")
-    langs = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
+    names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    langs = sorted(r.lang for r in (names if max_langs is None else names.limit(max_langs)).collect())
     if not langs:
         return [UND], np.full((1, BINS), -np.log(BINS))
-    sums = rows.where(F.col("lang").isin(langs)).mapInArrow(_learn(langs), "lang string, counts array<bigint>")
+    index = {x: i for i, x in enumerate(langs)}
+    chosen = rows if max_langs is None else rows.where(F.col("lang").isin(langs))
+    sums = chosen.mapInArrow(_learn, "lang string, counts array<bigint>")
     counts = np.zeros((len(langs), BINS))
     for r in sums.select("lang", F.posexplode("counts").alias("bin", "n")).where("n > 0").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[langs.index(r.lang), r.bin] = r.n  # at most max_langs * BINS rows
+        counts[index[r.lang], r.bin] = r.n  # at most BINS rows a language
     counts += 0.5
     return [*langs, UND], np.vstack([np.log(counts / counts.sum(axis=1, keepdims=True)), np.full((1, BINS), -np.log(BINS))])
 
@@ -108,7 +124,7 @@ def _smoothed(counts: Column, towards: Column, pull: float) -> Column:
     return F.zip_with(counts, towards, lambda c, p: (c + pull * p) / (total + pull))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", declared: str | None = "lang", suffix: str | None = None, host: str | None = "source", min_confidence: float = MIN_CONFIDENCE, cap: int = EVIDENCE_CAP, pull: float = PULL, max_langs: int = MAX_LANGS, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", declared: str | None = "lang", suffix: str | None = None, host: str | None = "source", min_confidence: float = MIN_CONFIDENCE, cap: int = EVIDENCE_CAP, pull: float = PULL, max_langs: int | None = None, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
     """Per document: its id, mark (a hash of its text), text_language (by the text alone), language, confidence, accepted.
 
     declared, suffix and host name columns of evidence; None leaves that evidence out."""

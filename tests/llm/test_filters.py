@@ -112,6 +112,20 @@ def test_languages_are_told(spark):
     assert {r.language for r in language_id.identify(documents(spark, ["some text"], langs=[None])).collect()} == {"und"}
 
 
+def test_more_than_sixteen_languages_are_told(spark):
+    rng = np.random.default_rng(2)
+    n, texts, langs = 20, [], []
+    for k in range(n):
+        own = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(30)]
+        for _ in range(10 + n - k):
+            texts.append(" ".join(rng.choice(own, 60)))
+            langs.append(f"l{k:02d}")
+    docs = documents(spark, texts, langs=langs)
+    rows = language_id.identify(docs).collect()
+    assert all(r.text_language == r.language == langs[r.doc_id] and r.accepted for r in rows) and len(rows) == len(texts)
+    assert language_id.train(docs, max_langs=3)[0] == ["l00", "l01", "l02", "und"]
+
+
 def test_page_evidence(spark):
     rows = [(1, "https://User@Example.ORG:8080/x", '<html LANG="fr-CA"><script>var a="<p>";</script><p>Bonjour &amp; salut</p>'), (2, None, None), (3, "no url", "plain")]
     e = sorted(language_id.page_evidence(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect())
