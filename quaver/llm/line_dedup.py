@@ -11,7 +11,8 @@ Scale: the leaves are counted from hashes alone, so the tokens of lines in rare
 combined before every shuffle, and joins on hot leaves or templates have exchanges that adaptive execution may split. Texts
 are joined back once, by a row key, and only those that lose a line are rebuilt.
 
-Nulls stay null. Lines of under min_tokens tokens say too little for a template and are never dropped by themselves. A document whose lines all go is dropped, if
+Nulls stay null. Lines of under min_tokens tokens say too little for a template with fields: they are their own, exact ones,
+and recur by the same rule. Lines without a token are left alone. A document whose lines all go is dropped, if
 drop_empty. Rows without doc_id count as one document. Rows that repeat a doc_id are one document too: a line that the first
 row keeps goes from none of them.
 """
@@ -32,11 +33,11 @@ def _mask(tokens: Column) -> Column:
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """(doc, mark, pos, tokens, leaf) of all lines of at least min_tokens tokens. Each line is split once: the leaf is made with
-    it, inside the generator, where no filter that is pushed down repeats it."""
+    """(doc, mark, pos, tokens, leaf) of all lines with a token; those of under min_tokens have a leaf of their own, unmasked. Each
+    line is split once: the leaf is made with it, inside the generator, where no filter that is pushed down repeats it."""
     text = docs["text"].cast("string")
     split = F.transform(F.split(text, "\n"), lambda line: F.array_remove(F.split(F.translate(line, _BLANKS, " " * len(_BLANKS)), " "), ""))
-    leaf = lambda t: F.when(F.size(t) >= max(1, min_tokens), F.xxhash64(F.size(t), _mask(F.slice(t, 1, depth))))
+    leaf = lambda t: F.when(F.size(t) >= max(1, min_tokens), F.xxhash64(F.size(t), _mask(F.slice(t, 1, depth)))).when(F.size(t) > 0, F.xxhash64(F.size(t), t, F.lit("exact")))
     rows = F.transform(split, lambda t, i: F.struct(i.alias("pos"), t.alias("tokens"), leaf(t).alias("leaf")))
     return docs.select(docs["doc_id"].cast("string").alias("doc"), F.xxhash64(text).alias("mark"), F.inline(rows)).where("leaf is not null")
 
@@ -48,6 +49,9 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, sim
     reached = materialize(reached, "leaves")
     busy = lines.join(broadcast_if_small(reached, reached.count()), "leaf", "left_semi")
     busy = materialize(busy.select("doc", "mark", "pos", "leaf", F.xxhash64("tokens").alias("raw"), _mask(F.col("tokens")).alias("tokens")), "busy-lines")
+    short = F.size("tokens") < min_tokens
+    exact = busy.where(short).select("doc", "mark", "pos", F.col("raw").alias("template"))
+    busy = busy.where(~short)
     spots = busy.select("doc", "leaf", F.posexplode("tokens").alias("at", "token")).select("doc", "leaf", "at", F.xxhash64("token").alias("token"))
     constant = spots.distinct().groupBy("leaf", "at", "token").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     constant = constant.groupBy("leaf", "at").agg(F.collect_set("token").alias("tokens"))
@@ -57,7 +61,7 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, sim
     general = F.transform("tokens", lambda t, i: F.when(F.array_contains(F.coalesce(F.try_element_at("known", i), F.array().cast("array<bigint>")), F.xxhash64(t)), t).otherwise("<*>"))
     joined = joined.withColumn("general", general)
     stays = F.size(F.filter("general", lambda t: t != "<*>")) >= similar * F.size("tokens")
-    return joined.select("doc", "mark", "pos", F.when(stays, F.xxhash64("general")).otherwise(F.col("raw")).alias("template"))
+    return joined.select("doc", "mark", "pos", F.when(stays, F.xxhash64("general")).otherwise(F.col("raw")).alias("template")).unionAll(exact)
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR, min_tokens: int = MIN_TOKENS) -> DataFrame:

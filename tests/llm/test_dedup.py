@@ -136,6 +136,15 @@ def test_prose_with_a_common_beginning_stays(spark):
     assert sum(r.n_dropped for r in line_dedup.line_report(documents(spark, texts)).collect()) == 0
 
 
+def test_short_lines_recur_word_for_word(spark):
+    texts = [f"{prose(15, i)}\nLes.\nAnd  ornd.\n{i}\npage {i}\n\nrow{i % 3} x" for i in range(12)] + ["Les."] + ["few words"] * 9
+    docs = documents(spark, texts)
+    rows = {r.doc_id: r for r in line_dedup.line_report(docs).collect()}
+    assert [rows[i].n_dropped for i in range(22)] == [0] + [2] * 11 + [1] + [0] * 9
+    left = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(docs).collect()}
+    assert left[0] == texts[0] and left[5] == texts[5].replace("Les.\nAnd  ornd.\n", "") and 12 not in left and len(left) == 21
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.line_report(documents(spark, [])).count() == 0
 
