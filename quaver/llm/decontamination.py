@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, string_buffers
+from .common import ALNUM, LOWER, broadcast_if_small, materialize, string_buffers
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -193,24 +193,35 @@ def _scanner(automaton: Automaton | None):
     return run
 
 
-def match_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per row of docs: key (the id as a string), n_words, spans of hit words [a, b) and items (their ids, sorted).
+_JOINED = (
+    "aggregate(spans, cast(array() as array<struct<a:int,b:int>>), (acc, s) -> "
+    "if(size(acc) > 0 and element_at(acc, -1).b >= s.a, concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', greatest(element_at(acc, -1).b, s.b)))), concat(acc, array(s))))"
+)
 
-    More than one block of items: each block's result is merged by key, so ids must then be unique."""
-    rows = docs.select(F.col(id_col).cast("string").alias("key"), F.col("text").cast("string").alias("text"))
-    schema = f"key string, n_words bigint, spans {_SPANS}, items array<string>"
-    parts = [rows.mapInArrow(_scanner(a), schema) for a in automata(benchmark, window, block_words)] or [rows.mapInArrow(_scanner(None), schema)]
-    if len(parts) == 1:
-        return parts[0]
+
+def _merged(keyed: DataFrame, blocks: list[Automaton], hits_only: bool = False) -> DataFrame:
+    """row, n_words, spans, items of keyed rows (row, text) over all blocks; hits_only: of rows with a span."""
+    rows = keyed.select(F.col("row").cast("string").alias("key"), "text")
+    parts = [rows.mapInArrow(_scanner(a), f"key string, n_words bigint, spans {_SPANS}, items array<string>") for a in blocks]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
+    if hits_only:
+        every = every.where(F.size("spans") > 0)
     merged = every.groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = F.expr(
-        "aggregate(spans, cast(array() as array<struct<a:int,b:int>>), (acc, s) -> "
-        "if(size(acc) > 0 and element_at(acc, -1).b >= s.a, concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', greatest(element_at(acc, -1).b, s.b)))), concat(acc, array(s))))"
-    )
-    return merged.withColumn("spans", joined)
+    return merged.select(F.col("key").cast("long").alias("row"), "n_words", F.expr(_JOINED).alias("spans"), "items")
+
+
+def match_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per row of docs: key (the id as a string), n_words, spans of hit words [a, b) and items (their ids, sorted).
+
+    More than one block of items: each row, by a key of its own, has the union of what the blocks find."""
+    rows = docs.select(F.col(id_col).cast("string").alias("key"), F.col("text").cast("string").alias("text"))
+    blocks = list(automata(benchmark, window, block_words))
+    if len(blocks) < 2:
+        return rows.mapInArrow(_scanner(blocks[0] if blocks else None), f"key string, n_words bigint, spans {_SPANS}, items array<string>")
+    keyed = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "keyed")
+    return keyed.select("row", "key").join(_merged(keyed, blocks), "row").drop("row")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -227,14 +238,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _cutter(automaton: Automaton | None, min_span: int, max_coverage: float):
+    """Cuts the spans of the automaton or, without one, those of the last column, which goes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.schema.get_field_index("text")
             texts, keep = batch.column(column).to_pylist(), []
+            given = None
+            if automaton is None:
+                given = [[(s["a"], s["b"]) for s in x or ()] for x in batch.column(batch.num_columns - 1).to_pylist()]
+                batch = batch.select(list(range(batch.num_columns - 1)))
             for i, text in enumerate(texts):
                 raw = (text or "").encode()
                 words = words_of(raw)
-                spans = [s for s in automaton.scan(words)[0] if s[1] - s[0] >= min_span] if automaton and words else []
+                found = given[i] if given is not None else automaton.scan(words)[0] if words else []
+                spans = [s for s in found if s[1] - s[0] >= min_span]
                 if not spans:
                     keep.append(i)
                 elif sum(b - a for a, b in spans) <= max_coverage * len(words):
@@ -263,10 +281,14 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = 1, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs, all columns, without hit spans of at least min_span words; documents whose such spans hold more than
     max_coverage of their words are dropped (0: every document with such a span). Clean texts stay as they are, nulls too."""
-    out = docs
-    for a in automata(benchmark, window, block_words):
-        out = out.mapInArrow(_cutter(a, min_span, max_coverage), docs.schema)
-    return out
+    blocks = list(automata(benchmark, window, block_words))
+    if len(blocks) < 2:
+        return docs.mapInArrow(_cutter(blocks[0], min_span, max_coverage), docs.schema) if blocks else docs
+    # all blocks scan the whole text before anything is cut
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("d")), "keyed")
+    hits = materialize(_merged(keyed.select("row", F.col("d.text").cast("string").alias("text")), blocks, True).select("row", "spans"), "spans")
+    joined = keyed.join(broadcast_if_small(hits, hits.count()), "row", "left").select("d.*", "spans")
+    return joined.mapInArrow(_cutter(None, min_span, max_coverage), docs.schema)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -59,6 +59,19 @@ def test_spans_are_cut_and_covered_documents_dropped(spark):
     assert not any(r.contaminated for r in decontamination.digest(docs, empty).collect())
 
 
+def test_blocks_of_items_decide_together(spark):
+    a, b = prose(20, 3), prose(20, 4)
+    long = prose(12, 8).split()
+    bench = spark.createDataFrame([(1, a), (2, b), (3, " ".join(long)), (4, " ".join(long[6:] + a.split()[:6]))], "item_id bigint, text string")
+    texts = [f"{a} {prose(12, 20)} {b}", f"x {' '.join(long)} {' '.join(a.split()[:6])} " + prose(40, 21), prose(30, 22), None]
+    docs = documents(spark, texts)
+    repeated = docs.unionAll(documents(spark, [a])).unionAll(docs.selectExpr("cast(null as bigint) doc_id", *docs.columns[1:]))
+    one, many = ([sorted(map(str, decontamination.contamination(repeated, bench, block_words=n).collect())) for n in (10**6, 15)])
+    assert one == many and len(one) == 9
+    one, many = ([sorted(map(str, decontamination.remove_contamination(repeated, bench, block_words=n).collect())) for n in (10**6, 15)])
+    assert one == many and not any(prose(12, 20) in r for r in many)
+
+
 def brute_quality(text):
     text = text or ""
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
