@@ -50,7 +50,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     second = [i for i, w in enumerate(low) if w in _SECOND]
     near = 0.0
     if hits and second:
-        gaps = np.abs(np.subtract.outer(np.array(hits[:2000]), np.array(second[:2000]))).min() if len(hits) * len(second) <= 4_000_000 else _least_gap(hits, second)
+        gaps = _least_gap(hits, second)
         near = 1.0 / float(gaps) if gaps else 1.0
     odd = _ODD_INSIDE.findall(text)
     hidden = 0

@@ -197,6 +197,13 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc > 0.9 and len(rows) == 3003
 
 
+def test_the_nearest_pair_of_a_long_text_counts():
+    text = "idiot " * 2100 + "word " * 50 + "idiot you " + "word you " * 900
+    assert toxicity.features(text, {})[toxicity.FEATURES.index("near_second")] == 1.0
+    text = "you " + "word " * 9 + "idiot " * 2100 + "word " * 4 + "you"
+    assert toxicity.features(text, {})[toxicity.FEATURES.index("near_second")] == 0.2
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert [r.score for r in toxicity.score(documents(spark, ["a", None]), none).collect()] == [0.0, 0.0]
