@@ -1,7 +1,7 @@
 """Shared plumbing of the training-data operators: scratch tables, column hygiene and vectorised text scanning.
 
 Text scanning works on the UTF-8 bytes that Arrow already holds: a 256-entry table says which bytes belong to a word, runs
-of such bytes are words, and a prefix-summed polynomial gives a 64-bit hash of every word without building Python strings.
+of such bytes are words, and sums of random numbers by byte and place give a 64-bit hash of every word without Python strings.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 SHINGLE, SIMILARITY = 5, 0.8
 #: Sides with at most so many rows (narrow rows, under 64 bytes each) may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 50_000
-#: Bytes of text that are scanned at once.
-CHUNK = 1 << 21
+#: Bytes of text that are scanned at once; a longer text is scanned by itself, its bytes hashed BLOCK at a time.
+CHUNK = BLOCK = 1 << 18
 
 _scratch: dict[str, list[str]] = {}
 _scope = ["session"]
@@ -102,7 +102,6 @@ LOWER[0x41:0x5B] += 32
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,13 +113,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(max(n, 1 << 16), base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p)
-    return _powers[0][:n], _powers[1][:n]
+#: Random numbers of a byte at a place of a word, for the first PLACES places.
+PLACES = 64
+_AT = mix(np.arange(PLACES * 256, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(1))
 
 
 class Words:
@@ -144,10 +139,41 @@ class Words:
         self.hash = self._hash() if hashes else None
 
     def _hash(self) -> np.ndarray:
-        power, inverse = _power(len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inverse[self.start])
+        """The sum over a word of a random number for each byte at its place, mixed: no algebra of bytes makes words collide. In
+        runs of words of about BLOCK bytes, so that what is held besides the hashes does not grow with a text."""
+        out = np.empty(len(self.start), np.uint64)
+        i, m = 0, len(self.start)
+        while i < m:
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + BLOCK, "right")))
+            size = self.end[i:j] - self.start[i:j]
+            if j == i + 1 and size[0] > BLOCK:
+                out[i] = self._long(int(self.start[i]), int(self.end[i]))
+                i = j
+                continue
+            first = np.cumsum(size) - size
+            place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
+            byte = self.buf[place + np.repeat(self.start[i:j], size)]
+            at = (np.minimum(place, PLACES - 1) << 8) + byte
+            value = _AT[at]
+            far = np.flatnonzero(place >= PLACES)
+            if len(far):
+                value[far] = _far(byte[far], place[far])
+            out[i:j] = np.add.reduceat(value, first)
+            i = j
+        return mix(out)
+
+    def _long(self, a: int, b: int) -> np.uint64:
+        total = np.zeros(1, np.uint64)
+        for lo in range(a, b, BLOCK):
+            byte = self.buf[lo : min(b, lo + BLOCK)]
+            place = np.arange(lo - a, lo - a + len(byte), dtype=np.int64)
+            near = place < PLACES
+            total += np.where(near, _AT[(np.minimum(place, PLACES - 1) << 8) + byte], _far(byte, place)).sum(dtype=np.uint64)
+        return total[0]
+
+
+def _far(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix(((place.astype(np.uint64) << np.uint64(8)) + byte) * np.uint64(_BASE) + np.uint64(1))
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

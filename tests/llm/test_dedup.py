@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 
 from quaver.llm import line_dedup, minhash_dedup, substring_dedup
+from quaver.llm.common import mix, shingles
 from quaver.llm.graph import connected_components
 
 from .fixtures import ODD, documents, prose
@@ -162,8 +163,9 @@ def test_repeated_passages_are_found(spark):
     for r in rows:
         by[r.doc_id].append(r)
     for ids in holds.values():
-        for i in ids if len(ids) > 1 else []:
-            assert any(r.kind == "exact" and r.class_id == min(ids) for r in by[i])
+        if len(ids) > 1:
+            told = [{r.class_id for r in by[i] if r.kind == "exact"} for i in ids]
+            assert set.intersection(*told) and set.union(*told) <= ids
     held = {i for ids in holds.values() for i in ids}
     assert {r.doc_id for r in rows} - held <= {i for i, t in enumerate(ODD) if t and len(t.split()) >= 50}
 
@@ -198,7 +200,8 @@ def test_near_passages_meet_beyond_their_hubs(spark):
 def test_near_passages_are_reported_whole(spark):
     a, b = planted(1, 2000)
     rows = substring_dedup.repeated_passages(documents(spark, [" ".join(a), " ".join(b)])).collect()
-    assert sorted((r.doc_id, r.start, r.end, r.kind, r.class_id) for r in rows) == [(0, 0, 2000, "near", 0), (1, 0, 2000, "near", 0)]
+    assert sorted((r.doc_id, r.start, r.end, r.kind) for r in rows) == [(0, 0, 2000, "near"), (1, 0, 2000, "near")]
+    assert len({r.class_id for r in rows}) == 1
 
 
 def test_windows_beside_a_spot_are_all_compared():
@@ -220,17 +223,115 @@ def test_windows_are_the_nodes_of_the_tree():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    for n in (0, 3, 10, 60):
-        h = rng.integers(0, 1 << 60, n).astype(np.uint64)
-        got = set(substring_dedup.compact_windows(h, 5))
-        want = set()
-        for c in range(n):
-            a = c
-            while a > 0 and h[a - 1] > h[c]:
-                a -= 1
-            b = c
-            while b + 1 < n and h[b + 1] > h[c]:
-                b += 1
-            if b - a + 1 >= 5:
-                want.add((a, c, b))
-        assert got == want
+    for n in (0, 3, 10, 60, 300):
+        for most in (8, 1 << 40):  # with ties and without
+            h = rng.integers(0, most, n).astype(np.uint64) << np.uint64(24)
+            want = []
+            for c in range(n):
+                a = c
+                while a > 0 and h[a - 1] > h[c]:
+                    a -= 1
+                b = c
+                while b + 1 < n and h[b + 1] >= h[c]:
+                    b += 1
+                if b - a + 1 >= 5:
+                    want.append((a, c, b))
+            assert substring_dedup.compact_windows(h, 5) == want
+
+
+def test_joint_windows_are_the_intervals_of_both_trees():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    width, n = 12, 5
+    texts = [rng.integers(0, most, size).astype(np.uint64) for size, most in ((0, 9), (15, 9), (16, 1 << 60), (200, 1 << 60), (300, 4))]
+    words, first = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    old, substring_dedup.STARTS = substring_dedup.STARTS, 64  # blocks end within texts
+    try:
+        got = defaultdict(set)
+        for band, doc, v, s, e, c in substring_dedup.joint_windows(words, first, width, n, 2):
+            for row in zip(doc.tolist(), v.tolist(), s.tolist(), e.tolist(), c.tolist(), strict=True):
+                for at in range(row[2], row[3] + 1):
+                    assert at not in {x for d, x, *_ in got[band] if d == row[0]}
+                    got[band].add((row[0], at - first[row[0]], row[1], row[4] - first[row[0]]))
+    finally:
+        substring_dedup.STARTS = old
+    for band in range(2):
+        want, signature = set(), {}
+        for d, t in enumerate(texts):
+            g = shingles(t, n) if len(t) >= width + n - 1 else t[:0]
+            trees = [substring_dedup.compact_windows(mix(g ^ substring_dedup._SEED[2 * band + k]), width) for k in (0, 1)]
+            for lo, c, hi in trees[0]:
+                for lo2, c2, hi2 in trees[1]:
+                    for at in range(max(lo, c - width + 1, lo2, c2 - width + 1), min(c, hi - width + 1, c2, hi2 - width + 1) + 1):
+                        want.add((d, at, (int(g[c]), int(g[c2])), c))
+        assert {(d, at, c) for d, at, _, c in want} == {(d, at, c) for d, at, _, c in got[band]}
+        for d, at, pair, c in want:
+            signature.setdefault(pair, set()).update(v for d2, at2, v, c2 in got[band] if (d2, at2) == (d, at))
+        assert all(len(x) == 1 for x in signature.values()) and len({min(x) for x in signature.values()}) == len(signature)
+
+
+def brute_near(a, b, width, n=5):
+    """Words of a and of b in windows with similarity 0.8 or more, over all pairs of windows; for texts that repeat no shingle."""
+    import numpy as np
+
+    ga, gb = (list(zip(*(w[i:] for i in range(n)), strict=False)) for w in (a, b))
+    at = {g: i for i, g in enumerate(gb)}
+    m = np.zeros((len(ga) + 1, len(gb) + 1), np.int32)
+    for i, g in enumerate(ga):
+        if g in at:
+            m[i + 1, at[g] + 1] = 1
+    m = m.cumsum(0).cumsum(1)
+    common = m[width:, width:] - m[:-width, width:] - m[width:, :-width] + m[:-width, :-width]
+    x, y = np.nonzero(100 * common >= 80 * (2 * width - common))
+    size = width + n - 1
+    return {i for s in set(x.tolist()) for i in range(s, s + size)}, {i for s in set(y.tolist()) for i in range(s, s + size)}
+
+
+def test_passages_against_all_pairs_of_windows(spark):
+    """500 texts: every passage of 50 words that is repeated word for word is found, and of near ones nine tenths of the words."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(50):
+        passage = prose(rng.choice((50, 60, 90, 150)), 9000 + k).split()
+        for j in range(10):
+            w = [f"m{k}.{j}.{i}" if rng.random() < (0, 0.01, 0.02, 0.03)[k % 4] else x for i, x in enumerate(passage)]
+            if k % 3 == 0:
+                del w[rng.randrange(len(w))]
+            texts.append(prose(rng.randrange(5, 40), 100_000 + 10 * k + j).split() + w + prose(rng.randrange(5, 40), 200_000 + 10 * k + j).split())
+    exact, near = defaultdict(set), defaultdict(set)
+    for k in range(0, 500, 10):
+        for x in range(k, k + 10):
+            for y in range(k, x):
+                p, q = brute_near(texts[x], texts[y], 46)
+                near[x] |= p
+                near[y] |= q
+                where = {tuple(texts[y][i : i + 50]): i for i in range(len(texts[y]) - 49)}
+                for i in range(len(texts[x]) - 49):
+                    j = where.get(tuple(texts[x][i : i + 50]))
+                    if j is not None:
+                        exact[x] |= set(range(i + 4, i + 46))  # ends are told to within four words
+                        exact[y] |= set(range(j + 4, j + 46))
+    rows = substring_dedup.repeated_passages(documents(spark, [" ".join(t) for t in texts])).collect()
+    found, found_exact = defaultdict(set), defaultdict(set)
+    for r in rows:
+        found[r.doc_id] |= set(range(r.start, r.end))
+        if r.kind == "exact":
+            found_exact[r.doc_id] |= set(range(r.start, r.end))
+    for x in range(500):
+        assert exact[x] <= found_exact[x]
+    for r in rows:  # nothing else is reported, but for runs of 46 to 49 words
+        assert set(range(r.start, r.end)) <= near[r.doc_id] or (r.kind == "exact" and r.end - r.start < 50)
+    total = sum(map(len, near.values()))
+    assert total > 10_000 and sum(len(near[x] & found[x]) for x in near) >= 0.9 * total
+    print("recall", sum(len(near[x] & found[x]) for x in near) / total, sum(bool(near[x] & found[x]) for x in near) / len([x for x in near if near[x]]))
+
+
+def test_rows_of_one_id_and_different_texts_are_told_apart(spark):
+    p = prose(60, 5)
+    docs = documents(spark, [prose(70, 1) + " " + p, prose(20, 2) + " " + p, p]).selectExpr("if(doc_id < 2, 'x', 'y') doc_id", "text", "lang", "source", "n_chars", "n_words", "keep")
+    rows = substring_dedup.repeated_passages(docs.unionAll(docs.where("doc_id = 'y'"))).collect()
+    want = [("x", 20, 80), ("x", 70, 130), ("y", 0, 60)]
+    for r, (doc, a, b) in zip(sorted(rows, key=lambda r: (r.doc_id, r.start)), want, strict=True):
+        assert r.doc_id == doc and r.kind == "exact" and a <= r.start <= a + 4 and b - 4 <= r.end <= b
+    assert len({r.class_id for r in rows}) == 1 and len({r.text_id for r in rows}) == 3
