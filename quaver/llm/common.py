@@ -187,6 +187,16 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]] if len(offsets) else buf[:0], offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 * CHUNK) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with about most bytes in that string column, so that Python objects are made for few texts at once."""
+    offsets = string_buffers(batch.column(column))[1]
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def chunks(buf: np.ndarray, offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first document, one past the last, bytes, offsets) of runs of documents of about most bytes; a longer text is a run of its own."""
     i, n = 0, len(offsets) - 1
