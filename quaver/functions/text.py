@@ -143,6 +143,37 @@ def fallback_response(title: Column, artist: Column) -> Column:
     return F.concat(F.lit("I think you'll really enjoy \""), name, F.lit('"'), by, F.lit(" — it lines up well with what you're looking for. Want a few more in a similar vein?"))
 
 
+def item_line(key: Column, fields: dict[str, Column]) -> Column:
+    """One line: the id, then every field (a list is joined before) in lower case; what is missing is empty."""
+    return F.concat_ws(", ", F.concat(F.lit("track_id: "), key.cast("string")), *(F.concat(F.lit(f"{k}: "), F.lower(F.coalesce(c.cast("string"), F.lit("")))) for k, c in fields.items()))
+
+
+def safe_float(c: Column) -> Column:
+    """A text or number as a double; what is none, or is missing, is 0."""
+    return F.coalesce(c.cast("string").try_cast("double"), F.lit(0.0))
+
+
+def strict_bool(c: Column) -> Column:
+    """true or false in any case, with blanks around; anything else, null too, is an error."""
+    t = F.lower(F.trim(c.cast("string")))
+    return F.when(t == "true", True).when(t == "false", False).otherwise(F.raise_error(F.concat(F.lit("not a truth value: "), F.coalesce(t, F.lit("null")))).cast("boolean"))
+
+
+def canonical_hash(*columns: Column) -> Column:
+    """The SHA-256 of the columns as JSON with sorted names and no blanks; missing ones are left out."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def name_set(c: Column) -> Column:
+    """An array of names in lower case without blanks around, each once, without empty ones."""
+    return F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+
+
+def sets_meet(a: Column, b: Column) -> Column:
+    """Whether two sets of names share one; null if either is empty."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.arrays_overlap(a, b))
+
+
 def fields_text(values: dict[str, Column]) -> Column:
     """'field: value' lines of an item's fields, without empty ones, in lower case."""
     return F.concat_ws("\n", *(F.when(F.length(F.coalesce(v, F.lit(""))) > 0, F.concat(F.lit(f"{k}: "), F.lower(v))) for k, v in values.items()))

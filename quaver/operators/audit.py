@@ -147,24 +147,76 @@ def cluster_logistic(frame: DataFrame, x: list[str], y: str, cluster: str, most:
     return frame.sparkSession.createDataFrame(rows, "term string, beta double, se double, odds double, p double")
 
 
-def bootstrap(stats: DataFrame, cluster: str, by: list[str], ratio: tuple[str, str], replicates: int = 500, seed: str = "b", weight: str | None = None) -> DataFrame:
+def resample(seed: str, cluster: Column, replicate: Column) -> Column:
+    """A Poisson(1) count from the MD5 of seed, cluster and replicate: the same wherever and whenever it is asked for."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), cluster.cast("string"), replicate.cast("string"))), 1, 10), 16, 10).cast("double") / F.lit(float(1 << 40))
+    total, p, count = 0.0, 0.36787944117144233, F.lit(0)
+    for i in range(8):  # its cumulative probabilities
+        total += p
+        count = count + F.when(u >= total, 1).otherwise(0)
+        p /= i + 1
+    return count
+
+
+def _interval(per: DataFrame, by: list[str], value: str) -> DataFrame:
+    q = per.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("replicates"), F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return q.select(*by, "replicates", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
+
+
+def _replicated(stats: DataFrame, cluster: str, replicates: int, seed: str) -> DataFrame:
+    r = stats.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    return r.withColumn("k", resample(seed, F.col(cluster), F.col("replicate"))).where("k > 0")
+
+
+def bootstrap(stats: DataFrame, cluster: str, by: list[str], ratio: tuple[str, str], replicates: int = 500, seed: str = "b") -> DataFrame:
     """Per group: a ratio of sums, and its 2.5 and 97.5 percentiles over cluster resamples.
 
-    Each cluster has a Poisson(1) weight in each replicate, from a hash of seed, cluster and replicate: rows are reweighted where they
-    are, so a group of any size is spread over tasks, and results repeat. At a thousand clusters this is the multinomial resample to within its own noise."""
+    Each cluster has a Poisson(1) weight in each replicate, from a hash: rows are reweighted where they are, so a group of any size is
+    spread over tasks, and results repeat. At a thousand clusters this is the multinomial resample to within its own noise."""
     top, bottom = ratio
-    # a uniform number to a Poisson(1) count by its cumulative probabilities
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(cluster).cast("string"), F.col("replicate")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    cumulative, total, p = [], 0.0, 0.36787944117144233
-    for i in range(8):
-        total += p
-        cumulative.append(total)
-        p /= i + 1
-    count = F.lit(0)
-    for c in cumulative:
-        count = count + F.when(u >= c, 1).otherwise(0)
     point = stats.groupBy(*by).agg(F.round(F.try_divide(F.sum(top), F.sum(bottom)), 6).alias("estimate"))
-    r = stats.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("k", count).where("k > 0")
-    per = r.groupBy(*by, "replicate").agg(F.try_divide(F.sum(F.col(top) * F.col("k")), F.sum(F.col(bottom) * F.col("k"))).alias("v")).where("v is not null")
-    q = per.groupBy(*by).agg(F.count("*").alias("replicates"), F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return point.join(q, by).select(*by, "estimate", "replicates", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
+    per = _replicated(stats, cluster, replicates, seed).groupBy(*by, "replicate").agg(F.try_divide(F.sum(F.col(top) * F.col("k")), F.sum(F.col(bottom) * F.col("k"))).alias("v"))
+    return point.join(_interval(per, by, "v"), by).select(*by, "estimate", "replicates", "low", "high")
+
+
+def standardized_bootstrap(frame: DataFrame, detectors: list[str], replicates: int = 200, seed: str = "t") -> DataFrame:
+    """The standardised difference of repeat rates with its interval over session resamples. The turns compared and their weights are
+    those of the whole sample; a replicate where either side of a turn has no weight is left out."""
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("detector"), F.col(d).alias("hit")) for d in detectors)))
+    f = frame.where("same_cumulative is not null").select("session_id", "turn_number", F.col("same_cumulative").cast("int").alias("same"), each.alias("x")).select("session_id", "turn_number", "same", "x.*")
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    stats = f.groupBy("session_id", "detector", "turn_number").agg(n(F.col("hit")).alias("nh"), n(F.col("hit") & (F.col("same") == 1)).alias("sh"), n(~F.col("hit")).alias("no"), n(~F.col("hit") & (F.col("same") == 1)).alias("so"))
+    t = stats.groupBy("detector", "turn_number").agg(*(F.sum(c).alias(f"t_{c}") for c in ("nh", "sh", "no", "so"))).where("t_nh > 0 and t_no > 0")
+    point = t.groupBy("detector").agg(F.count("*").alias("turns"), F.sum("t_nh").alias("n"), F.round(F.sum(F.col("t_nh") * (F.col("t_sh") / F.col("t_nh") - F.col("t_so") / F.col("t_no"))) / F.sum("t_nh"), 6).alias("difference"))
+    r = _replicated(stats.join(t.select("detector", "turn_number"), ["detector", "turn_number"], "left_semi"), "session_id", replicates, seed)
+    sums = r.groupBy("detector", "replicate", "turn_number").agg(*(F.sum(F.col(c) * F.col("k")).alias(c) for c in ("nh", "sh", "no", "so")))
+    rate = F.try_divide(F.col("sh"), F.col("nh")) - F.try_divide(F.col("so"), F.col("no"))
+    per = sums.join(t.select("detector", "turn_number", "t_nh"), ["detector", "turn_number"]).withColumn("d", rate).groupBy("detector", "replicate")
+    per = per.agg(F.count("d").alias("have"), (F.sum(F.col("t_nh") * F.col("d")) / F.sum("t_nh")).alias("v")).join(point.select("detector", "turns"), "detector").where("have = turns")
+    return point.join(_interval(per, ["detector"], "v"), "detector").select("detector", "turns", "n", "difference", "replicates", "low", "high")
+
+
+def stratified_bootstrap(judged: DataFrame, label: str, detectors: list[str], stratum: str, population: str, cluster: str, replicates: int = 200, seed: str = "s") -> DataFrame:
+    """Precision, recall and F1 of detectors with intervals: clusters are resampled over all strata alike, and in each replicate the rows of a
+    stratum share its population anew. Replicates in which a stratum has no row are left out. judged: label YES or NO, detectors' flags."""
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("detector"), F.col(d).alias("hit")) for d in detectors)))
+    rows = judged.where(F.col(label).isin("YES", "NO")).select(F.col(cluster).alias("g"), F.col(stratum).alias("stratum"), F.col(population).cast("double").alias("population"), (F.col(label) == "YES").alias("yes"), each.alias("x")).select("g", "stratum", "population", "yes", "x.*")
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    hit, yes = F.col("hit"), F.col("yes")
+    stats = rows.groupBy("g", "stratum", "population", "detector").agg(F.count("*").alias("n"), n(hit & yes).alias("tp"), n(hit & ~yes).alias("fp"), n(~hit & yes).alias("fn"))
+    strata = rows.select("stratum").distinct().agg(F.count("*").alias("strata"))
+
+    def measures(sums: DataFrame, by: list[str]) -> DataFrame:
+        """sums: by, stratum, population, n, tp, fp, fn."""
+        w = F.col("population") / F.col("n")
+        t = sums.groupBy(*by).agg(F.count("*").alias("have"), *(F.sum(w * F.col(c)).alias(c) for c in ("tp", "fp", "fn")))
+        p, r = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
+        f1 = F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+        told = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), v.alias("v")) for k, v in (("precision", p), ("recall", r), ("f1", f1)))))
+        return t.select(*by, "have", told.alias("m")).select(*by, "have", "m.*")
+
+    per_stratum = ["detector", "stratum", "population"]
+    point = measures(stats.groupBy(*per_stratum).agg(*(F.sum(c).alias(c) for c in ("n", "tp", "fp", "fn"))), ["detector"]).select("detector", "measure", F.round("v", 6).alias("estimate"))
+    r = _replicated(stats, "g", replicates, seed).groupBy("replicate", *per_stratum).agg(*(F.sum(F.col(c) * F.col("k")).alias(c) for c in ("n", "tp", "fp", "fn")))
+    per = measures(r, ["detector", "replicate"]).crossJoin(F.broadcast(strata)).where("have = strata")
+    return point.join(_interval(per, ["detector", "measure"], "v"), ["detector", "measure"]).select("detector", "measure", "estimate", "replicates", "low", "high")

@@ -100,6 +100,76 @@ def history_features(pool: DataFrame, history: DataFrame, items: DataFrame, vect
     )
 
 
+def miscellaneous(pool: DataFrame, tasks: DataFrame, ranked: DataFrame, explicit: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Features of the task beside each candidate: turn, items before, words of its texts, whether a source of explicit matches has the
+    item, its intent, and flags of vectors that are missing. tasks: keys, turn, n_history, current, full, recent, intent, user_v, history_v."""
+    keys = keys or TASK
+    hit = ranked.where(F.col("source").isin(explicit)).select(*keys, "item_id", F.lit(1.0).alias("hit")).distinct()
+    n = lambda c: F.size(F.array_distinct(X.words(X.normalize_text(F.col(c))))).cast("double")
+    j = pool.select(*keys, "item_id").join(tasks, keys).join(hit, [*keys, "item_id"], "left")
+    return j.select(
+        *keys,
+        "item_id",
+        F.coalesce("turn", F.lit(0)).cast("double").alias("f_turn_number"),
+        F.col("n_history").cast("double").alias("f_history_count"),
+        *(n(c).alias(f"f_{c}_query_len") for c in ("full", "current", "recent")),
+        F.coalesce("hit", F.lit(0.0)).alias("f_has_explicit_source_hit"),
+        *((F.col("intent") == i).cast("double").alias(f"f_intent_{i}") for i in (*X.INTENTS, "ambiguous")),
+        *((~F.coalesce(V.is_valid(F.col(f"{c}_v")), F.lit(False))).cast("double").alias(f"f_missing_{c}_embedding") for c in ("user", "history")),
+    )
+
+
+def lexical_views(pool: DataFrame, texts: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
+    """Matches of an item's fields with the current and the full text, and words its tags share with these and the recent one.
+    texts: keys, current, full, recent."""
+    j = pool.select(*keys, "item_id").join(texts.select(*keys, *(X.normalize_text(F.col(c)).alias(f"t_{c}") for c in ("current", "full", "recent"))), keys).join(items, "item_id")
+    tags = F.array_join(X.as_values(F.col("tags")), " ")
+    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    return j.select(
+        *keys,
+        "item_id",
+        *(flag(X.phrase_in(X.normalize_text(F.col(f)), F.col(f"t_{v}"))).alias(f"f_{f}_exact_{v}") for v in ("current", "full") for f in ("name", "artist", "album")),
+        *(X.token_overlap(tags, F.col(f"t_{v}")).cast("double").alias(f"f_tag_overlap_{v}") for v in ("current", "full", "recent")),
+    )
+
+
+def vector_features(pool: DataFrame, spaces: dict[str, DataFrame], of: dict[str, tuple[str, DataFrame]], keys: list[str] | None = None) -> DataFrame:
+    """Cosines of candidates with vectors of the task. spaces: by name, item_id and v; of: by feature, the space and keys, q (one vector a
+    task). A missing or invalid vector on either side gives 0."""
+    keys = keys or TASK
+    out = pool.select(*keys, "item_id")
+    for name, (space, queries) in of.items():
+        v = spaces[space].select("item_id", V.unit(F.col("v")).alias("v"))
+        q = queries.select(*keys, V.unit(F.col("q")).alias("q"))
+        out = out.join(v, "item_id", "left").join(q, keys, "left")
+        cosine = F.when(F.col("v").isNotNull() & F.col("q").isNotNull(), V.dot(F.col("v"), F.col("q")))
+        out = out.withColumn(name, F.round(F.coalesce(cosine, F.lit(0.0)), 6)).drop("v", "q")
+    return out
+
+
+def feature_columns(columns: list[str]) -> list[str]:
+    """Names of features, which begin with f_, sorted."""
+    return sorted(c for c in columns if c.startswith("f_"))
+
+
+def sources_of(columns: list[str]) -> list[str]:
+    """Sources that have a hit, rank and rrf feature each, by the features' names."""
+    names = set(columns)
+    return sorted(c[2:-4] for c in names if c.startswith("f_") and c.endswith("_hit") and {f"{c[:-4]}_rank", f"{c[:-4]}_rrf"} <= names)
+
+
+def with_extra(features: DataFrame, provider=None) -> DataFrame:
+    """A hook for further columns, such as sources' confidence: provider maps the table to more columns; by default there are none."""
+    return features.select("*", *(provider(features) if provider else []))
+
+
+def standardised(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
+    """Each column less the training mean, by the training deviation; a deviation under 1e-6 counts as 1. The statistics are one row."""
+    s = train.agg(*(a for c in columns for a in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))))
+    z = lambda c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") < 1e-6, 1.0).otherwise(F.col(f"s_{c}"))
+    return df.crossJoin(F.broadcast(s)).select(*(F.round(z(c), 6).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
 def zscores(df: DataFrame, columns: list[str], keys: list[str] | None = None, digits: int = 6) -> DataFrame:
     """Each column by its mean and deviation within the task; one row or none apart give 0. Statistics are joined, not windowed, so a large task stays split."""
     keys = keys or TASK

@@ -81,6 +81,21 @@ def require_positive(candidates: DataFrame, keys: list[str] | None = None) -> Da
     return candidates.join(candidates.where("label = 1").select(*keys).distinct(), keys, "left_semi")
 
 
+def force_positive(candidates: DataFrame, labels: DataFrame, catalog: DataFrame, most: int, keys: list[str] | None = None) -> DataFrame:
+    """Lists of a task without any of its labels are cut to make room within `most` for those that the catalog has, which come last in
+    order of id; other lists stay. candidates: keys, item_id, rank; labels: keys, item_id. Rows with label 0 or 1, and forced."""
+    keys = keys or TASK
+    marked = candidates.select(*keys, "item_id", "rank").join(labels.select(*keys, "item_id", F.lit(1).alias("label")).distinct(), [*keys, "item_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    without = marked.groupBy(*keys).agg(F.max("label").alias("has")).where("has = 0").select(*keys)
+    missing = labels.select(*keys, "item_id").distinct().join(without, keys).join(catalog.select("item_id"), "item_id", "left_semi")
+    missing = top(missing, keys, [F.asc("item_id")], None, "nth")
+    n = missing.groupBy(*keys).agg(F.count("*").alias("n"))
+    kept = marked.join(n, keys, "left").where((F.coalesce("n", F.lit(0)) == 0) | (F.col("rank") <= most - F.col("n")))
+    last = kept.groupBy(*keys).agg(F.max("rank").alias("last"))
+    forced = missing.join(last, keys, "left").select(*keys, "item_id", (F.coalesce("last", F.lit(0)) + F.col("nth")).cast("int").alias("rank"), F.lit(1).alias("label"), F.lit(True).alias("forced"))
+    return kept.select(*keys, "item_id", F.col("rank").cast("int").alias("rank"), "label", F.lit(False).alias("forced")).unionAll(forced)
+
+
 def backfill(ranked: DataFrame, excluded: DataFrame, spare: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
     """Lists without excluded items, filled to k with spare's items in order that are neither excluded nor there."""
     keys = keys or TASK

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import TASK
+from .ranking import TASK, numbered
 
 
 def gain(rank: Column) -> Column:
@@ -99,22 +99,15 @@ def decomposition(runs: DataFrame) -> DataFrame:
     return c.crossJoin(F.broadcast(base)).select("run", F.round("composite", 7).alias("composite"), diff("ndcg", 0.5), diff("catalog", 0.1), diff("lexical", 0.1), diff("judge", 0.075), F.round((F.col("composite") - F.col("b.composite")) / 0.5, 7).alias("ndcg_equivalent"))
 
 
-def average_rank(c: str) -> Column:
-    """Rank with ties sharing their mean; over the whole relation."""
-    w = Window.orderBy(c)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-
-
 def correlations(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
-    """feature, n, pearson, spearman against target. Ranks come from counts of distinct values, so the running sum is over values, not rows."""
+    """feature, n, pearson, spearman against target. Ranks are means over ties, from running counts of distinct values by ranges."""
     out = None
     for c in columns:
         d = df.select(F.col(c).cast("double").alias("x"), F.col(target).cast("double").alias("y")).where("x is not null and y is not null")
         ranked = d
         for v in ("x", "y"):
             n = d.groupBy(v).agg(F.count("*").alias("n"))
-            before = F.coalesce(F.sum("n").over(Window.orderBy(v).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            ranked = ranked.join(n.select(v, (before + (F.col("n") + 1) / 2).alias(f"r{v}")), v)
+            ranked = ranked.join(numbered(n, [v], "before", "n").select(v, (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{v}")), v)
         row = ranked.agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman")).select(F.lit(c).alias("feature"), "n", "pearson", "spearman")
         out = row if out is None else out.unionAll(row)
     return out

@@ -28,6 +28,38 @@ def scored_top(scored: DataFrame, k: int | None, keys: list[str] | None = None,
     return top(s, keys, [F.desc("score"), F.asc("item_id")], k).select(*keys, "item_id", "rank", "score")
 
 
+def range_bounds(df: DataFrame, column: str, parts: int = 64, sample: int = 4096) -> list:
+    """Values that cut a column into about equal ranges: of a bounded sample in the order of a hash. Any bounds give right results, good
+    ones even tasks."""
+    drawn = sorted(r[0] for r in df.select(F.col(column).alias("v")).where("v is not null").distinct().orderBy(F.xxhash64("v")).limit(sample).collect())
+    return [drawn[i * len(drawn) // parts] for i in range(1, parts)] if len(drawn) > parts else drawn[1:]
+
+
+def numbered(df: DataFrame, order: list[str], name: str, weight: str | None = None) -> DataFrame:
+    """df with its row number from 0 in an order (or, with weight, the sum of it over the rows before) without a global window: numbers
+    within ranges of the first column, and the totals of the ranges before."""
+    bounds = range_bounds(df, order[0])
+    at = F.lit(0)
+    for b in bounds:
+        at = at + F.when(F.col(order[0]) >= F.lit(b), 1).otherwise(0)
+    d = df.withColumn("q_range", at)
+    one = F.col(weight) if weight else F.lit(1)
+    sizes = d.groupBy("q_range").agg(F.sum(one).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("q_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("q_range", before.alias("q_before"))  # a row a range
+    inside = F.coalesce(F.sum(one).over(Window.partitionBy("q_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.withColumn("q_inside", inside).join(F.broadcast(offsets), "q_range").withColumn(name, F.col("q_inside") + F.col("q_before")).drop("q_range", "q_inside", "q_before")
+
+
+def exactly(ranked: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
+    """ranked as it is; an error if a list has not k items."""
+    keys = keys or TASK
+    n = ranked.groupBy(*keys).agg(F.count("*").alias("q_n"))
+    bad = F.raise_error(F.concat(F.lit("a list has not "), F.lit(str(k)), F.lit(" items: "), F.concat_ws(":", *(F.col(c).cast("string") for c in keys))))
+    told = n.select(*keys, F.when(F.col("q_n") == k, True).otherwise(bad.cast("boolean")).alias("q_ok"))
+    return ranked.join(told, keys).where("q_ok").select(*ranked.columns)
+
+
 def first_places(df: DataFrame, keys: list[str], place: str = "place") -> DataFrame:
     """Each item once, at its first place: duplicates go without relying on row order."""
     return df.groupBy(*keys, "item_id").agg(F.min(place).alias(place))
@@ -42,10 +74,15 @@ def popular(items: DataFrame, k: int) -> DataFrame:
 def padded(ranked: DataFrame, tasks: DataFrame, pop: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
     """Lists of exactly k: what is missing comes from pop (item_id, pop_rank; at least k rows beyond any list), flagged is_pad.
 
-    pop has at most a few k rows, a bound the caller chose, so it is broadcast."""
+    pop has at most a few k rows, a bound the caller chose: it is one array, and each list takes from it what it lacks, no more."""
     keys = keys or TASK
-    real = ranked.select(*keys, "item_id", "rank").withColumn("is_pad", F.lit(False))
-    fill = tasks.select(*keys).distinct().crossJoin(F.broadcast(pop)).join(real.select(*keys, "item_id"), [*keys, "item_id"], "left_anti")
-    both = real.unionAll(fill.select(*keys, "item_id", F.col("pop_rank").alias("rank"), F.lit(True).alias("is_pad")))
-    out = both.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("is_pad", "rank", "item_id"))).where(F.col("place") <= k)
-    return out.select(*keys, "item_id", F.col("place").alias("rank"), "is_pad")
+    kept = top(ranked.select(*keys, "item_id", "rank"), keys, [F.col("rank"), F.col("item_id")], k, "place")
+    held = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "item_id"))).alias("held"))
+    spare = pop.agg(F.array_sort(F.collect_list(F.struct("pop_rank", "item_id"))).alias("spare"))
+    j = tasks.select(*keys).distinct().join(held, keys, "left").crossJoin(F.broadcast(spare))
+    own = F.transform(F.coalesce("held", F.array().cast(held.schema["held"].dataType)), lambda x: x.item_id)
+    j = j.withColumn("own", own)
+    more = F.slice(F.filter(F.transform("spare", lambda x: x.item_id), lambda x: ~F.array_contains("own", x)), 1, F.greatest(F.lit(k) - F.size("own"), F.lit(0)))
+    flag = lambda a, pad: F.transform(a, lambda x: F.struct(x.alias("item_id"), F.lit(pad).alias("is_pad")))
+    out = j.select(*keys, F.posexplode(F.concat(flag(F.col("own"), False), flag(more, True))).alias("at", "x"))
+    return out.select(*keys, "x.item_id", (F.col("at") + 1).cast("int").alias("rank"), "x.is_pad")

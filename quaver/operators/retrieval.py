@@ -54,6 +54,11 @@ def query_ngrams(queries: DataFrame, keys: list[str], text: Column, most: int) -
     return once.select(*keys, "value", "n_tokens", F.length(F.replace("value", F.lit(" "), F.lit(""))).alias("n_chars"), (F.row_number().over(order) - 1).alias("ngram_rank"))
 
 
+def longest_key(index: DataFrame, cap: int = 12) -> DataFrame:
+    """One row, most: the words of the longest key, at most cap; queries need no longer n-grams."""
+    return index.agg(F.least(F.max(F.size(F.split("value", " "))), F.lit(cap)).alias("most"))
+
+
 def exact_hits(queries: DataFrame, index: DataFrame, keys: list[str], text: Column, k: int, most: int = 12, factor: int = 8) -> DataFrame:
     """n-grams that are keys, with their items. Per task and field, n-grams are taken in order until their items number
     factor * k; the one that crosses is the last."""
@@ -87,7 +92,7 @@ def cosine_top(queries: DataFrame, items: DataFrame, keys: list[str], k: int, qu
 
     Every query meets every item in blocks: items are dealt to tasks, each block of queries goes to all of them once, scores
     of a block are one matrix product, and a task passes on its own k best only."""
-    q = queries.select(*keys, V.unit(F.col(query)).alias("q")).where("q is not null")
+    q = queries.select(*keys, V.unit(F.col(query)).alias("q_vector")).where("q_vector is not null")
     v = items.select("item_id", V.unit(F.col(vector)).alias("v")).where("v is not null")
     return scored_top(_block_products(q, v, keys, k), k, keys)
 
@@ -116,8 +121,14 @@ def _block_products(q: DataFrame, v: DataFrame, keys: list[str], k: int) -> Data
         if not len(a) or not len(b):
             return pd.DataFrame({c: [] for c in [*keys, "item_id", "score"]})
         b = b.sort_values("item_id")
-        s = np.round(np.array(a["q"].tolist()) @ np.array(b["v"].tolist()).T, 6)
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        s = np.round(np.array(a["q_vector"].tolist()) @ np.array(b["v"].tolist()).T, 6)
+        # the k best and all that tie with the last of them, by score and then item; the rest is not sorted
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if k < s.shape[1] else np.full(len(s), -np.inf)
+        some = (s >= least[:, None]).sum(axis=1).max()
+        near = np.argpartition(-s, min(some, s.shape[1]) - 1, axis=1)[:, :some]
+        near.sort(axis=1)
+        order = np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(near, order, 1)
         rows = np.repeat(np.arange(len(a)), best.shape[1])
         out = {c: a[c].to_numpy()[rows] for c in keys}
         return pd.DataFrame(out | {"item_id": b["item_id"].to_numpy()[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})

@@ -172,6 +172,34 @@ def cross_session(tasks: DataFrame, plays: DataFrame, k: int = 50) -> DataFrame:
     return scored_top(scored, k)
 
 
+def cross_session_pools(tasks: DataFrame, pools: list[DataFrame], k: int = 50) -> DataFrame:
+    """Items of the same user's other sessions in several pools, by the number of (pool, session) that have them, then by first sight: pool,
+    session, turn. tasks: session_id, turn_number, user_id; pools: user_id, session_id, turn_number, item_id; users without an id have none.
+
+    Counted per user and item once. A task's own session is taken off again; should it hold the first sight, the second session's counts."""
+    known = "user_id is not null and trim(cast(user_id as string)) <> ''"
+    every = None
+    for i, p in enumerate(pools):
+        part = p.where(known).select("user_id", F.lit(i).alias("pool"), "session_id", "turn_number", "item_id")
+        every = part if every is None else every.unionAll(part)
+    per = every.groupBy("user_id", "item_id", "pool", "session_id").agg(F.min("turn_number").alias("at"))
+    by_session = per.groupBy("user_id", "item_id", "session_id").agg(F.count("*").alias("n"), F.min(F.struct("pool", "session_id", "at")).alias("first"))
+    two = top(by_session, ["user_id", "item_id"], [F.col("first")], 2, "nth").groupBy("user_id", "item_id").agg(F.min("first").alias("first"), F.max("first").alias("second"))
+    total = by_session.groupBy("user_id", "item_id").agg(F.sum("n").alias("n")).join(two, ["user_id", "item_id"])
+    own = by_session.select("session_id", "user_id", "item_id", F.col("n").alias("own"))
+    j = tasks.select(*TASK, "user_id").join(total, "user_id").join(own, ["session_id", "user_id", "item_id"], "left")
+    j = j.withColumn("score", (F.col("n") - F.coalesce("own", F.lit(0))).cast("double")).where("score > 0")
+    seen = F.when(F.col("first.session_id") == F.col("session_id"), F.col("second")).otherwise(F.col("first"))
+    return top(j.withColumn("seen", seen), TASK, [F.desc("score"), F.asc("seen")], k).select(*TASK, "item_id", "rank", "score")
+
+
+def activity(tasks: DataFrame, found: DataFrame, keys: list[str], fields: dict[int, str]) -> DataFrame:
+    """One row: tasks, those of them with anything found (keys, field), their share, and those with something of each field."""
+    hit = found.groupBy(*keys).agg(*(F.max(F.col("field") == k).alias(f"active_{n}") for k, n in fields.items()))
+    j = tasks.select(*keys).join(hit.withColumn("active", F.lit(True)), keys, "left")
+    return j.agg(F.count("*").alias("tasks"), F.count_if("active").alias("active"), F.round(F.count_if("active") / F.count("*"), 6).alias("active_rate"), *(F.count_if(f"active_{n}").alias(f"active_{n}") for n in fields.values()))
+
+
 def segment_counts(plays: DataFrame, values: DataFrame, segments: dict[str, Column]) -> DataFrame:
     """segment_type, segment, item_id, n: plays by segment of the player, and by artist and tag of the item."""
     named = F.explode(F.array(*(F.struct(F.lit(k).alias("segment_type"), c.cast("string").alias("segment")) for k, c in segments.items())))

@@ -58,6 +58,26 @@ def recent_user_text(messages: DataFrame, last: int = 2) -> DataFrame:
     return j.groupBy("session_id", "seq", "query").agg(F.array_join(texts, " ").alias("recent"))
 
 
+def told_messages(messages: DataFrame, lines: DataFrame) -> DataFrame:
+    """messages as they are spoken: music is an assistant's line about the item (lines: item_id, line), or its id if there is none."""
+    music = F.col("role") == "music"
+    j = messages.join(lines, music & (F.col("content") == F.col("item_id")), "left")
+    return j.select("session_id", "seq", spoken_role(F.col("role")).alias("role"), F.when(music, F.coalesce("line", "content")).otherwise(F.col("content")).alias("content"))
+
+
+def history_ids(messages: DataFrame) -> DataFrame:
+    """session_id, seq, item_id: music messages' contents, and the first id of 36 characters that an assistant's message names."""
+    named = F.nullif(F.regexp_extract(F.coalesce("content", F.lit("")), r"track_id:\s*([0-9a-fA-F-]{36})", 1), F.lit(""))
+    item = F.when(F.col("role") == "music", F.nullif(F.col("content"), F.lit(""))).when(F.col("role") == "assistant", named)
+    return messages.select("session_id", "seq", item.alias("item_id")).where("item_id is not null")
+
+
+def before_last_turn(plays: DataFrame) -> DataFrame:
+    """plays without each session's last turn, which may be hidden."""
+    last = plays.groupBy(F.col("session_id").alias("q_session")).agg(F.max("turn_number").alias("q_last"))
+    return plays.join(last, (F.col("session_id") == F.col("q_session")) & (F.col("turn_number") < F.col("q_last"))).select(*plays.columns)
+
+
 def last_message(messages: DataFrame) -> DataFrame:
     """Per session: its last message, and the next turn's number."""
     return messages.groupBy("session_id").agg(F.max("seq").alias("seq"), F.max_by("content", "seq").alias("query"), F.max_by("role", "seq").alias("role"), (F.coalesce(F.max("seq"), F.lit(0)) + 1).alias("next_turn"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audits, behaviour, ranking, retrieval, texts
+from . import audits, behaviour, dialogue, inputs, ranking, retrieval, studies, texts
 
-_PLANS = (texts, retrieval, behaviour, ranking, audits)
+_PLANS = (texts, retrieval, behaviour, dialogue, ranking, audits, studies, inputs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

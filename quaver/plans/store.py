@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 _paths: dict[tuple[str, str, str], str] = {}
 
 
-def _folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (tests), a local one of our own."""
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where it is unset, and then only in local mode (tests), a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quaver-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -40,7 +42,7 @@ def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
     if key not in _paths:
         if not _paths:
             atexit.register(_forget)
-        path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         build().write.option("compression", "zstd").parquet(path)
         _paths[key] = path
     return spark.read.parquet(_paths[key])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ranking import TASK
+from ..operators.ranking import TASK, numbered
 
 PREDICTION = "session_id string, user_id string, turn_number int, predicted_track_ids array<string>, predicted_response string"
 
@@ -50,8 +50,10 @@ def union_splits(tables: list[DataFrame], key: str) -> DataFrame:
     for i, t in enumerate(tables):
         t = t.withColumn("q_split", F.lit(i))
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
-    last = out.groupBy(F.col(key).alias("q_key")).agg(F.max("q_split").alias("q_last"))
-    return out.join(last, out[key].eqNullSafe(last["q_key"]) & (out["q_split"] == last["q_last"])).drop("q_split", "q_key", "q_last").dropDuplicates([key])
+    # among rows of one table with one key, the one with the least hash of its columns
+    columns = [c for c in out.columns if c != "q_split"]
+    place = F.struct((-F.col("q_split")).alias("split"), F.xxhash64(F.to_json(F.struct(*columns))).alias("mark"))
+    return out.groupBy(F.col(key).alias("q_key")).agg(F.min_by(F.struct(*columns), place).alias("q_row")).select("q_row.*")
 
 
 def read_columns(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
@@ -107,8 +109,68 @@ def zip_submission(df: DataFrame, path: str, most: int = 100_000) -> None:
     records = [json.loads(r) for r in df.limit(most + 1).toJSON().collect()]
     if len(records) > most:
         raise ValueError(f"a submission has at most {most} records")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("prediction.json", json.dumps(records, ensure_ascii=False))
+    put(df.sparkSession, path, held.getvalue())
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a small file, wherever Spark can write."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+
+
+def submission_problems(spark: SparkSession, path: str, most_name: int = 63) -> DataFrame:
+    """file, problem of zipped submissions: a name that is too long, no prediction.json at the root, no array in it, a record without a
+    required field."""
+    need = ["session_id", "user_id", "turn_number", "predicted_track_ids", "predicted_response"]
+
+    def inspect(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for p, content in zip(b["path"], b["content"], strict=True):
+                name = p.rsplit("/", 1)[-1]
+                if len(name) > most_name:
+                    out.append((name, "long name"))
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    if "prediction.json" not in z.namelist():
+                        out.append((name, "nested" if any(n.endswith("prediction.json") for n in z.namelist()) else "no prediction.json"))
+                        continue
+                    told = json.loads(z.read("prediction.json"))
+                if not isinstance(told, list):
+                    out.append((name, "no array"))
+                    continue
+                out += [(name, f"missing {f}") for f in need if any(f not in r for r in told)]
+            yield pd.DataFrame(out, columns=["file", "problem"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(inspect, "file string, problem string")
+
+
+def append_batches(batches: list[DataFrame], path: str, schema: T.StructType) -> None:
+    """Appends tables one after another in a frozen schema: what a batch lacks is null, a new column is an error before anything of it is written."""
+    for b in batches:
+        conform(b, schema).write.mode("append").parquet(path)
+
+
+def resolve_artifacts(ledger: DataFrame, artifacts: DataFrame, expected: int) -> DataFrame:
+    """ledger (run, artifact) with the file that each names and, if it can't be used, why: artifacts are file, records. A name without an
+    ending may be of a .zip or .json; submission_x.zip may be x.json. A file needs the expected number of records."""
+    base = F.regexp_extract("artifact", r"([^/]*)$", 1)
+    bare = ~base.contains(".")
+    stem = F.regexp_extract(base, r"^submission_(.*)\.zip$", 1)
+    names = F.filter(F.array(base, F.when(bare, F.concat(base, F.lit(".zip"))), F.when(bare, F.concat(base, F.lit(".json"))), F.when(stem != "", F.concat(stem, F.lit(".json")))), lambda x: x.isNotNull())
+    tried = ledger.select("run", F.posexplode(names).alias("at", "file"))
+    found = tried.join(artifacts, "file").groupBy("run").agg(F.min_by(F.struct("file", "records"), "at").alias("f"))
+    j = ledger.join(found, "run", "left").select("run", "artifact", F.col("f.file").alias("file"), F.col("f.records").alias("records"))
+    reason = F.when(F.col("file").isNull(), "artifact_not_found").when(F.col("records") != expected, F.concat(F.lit("record_count:"), F.col("records").cast("string")))
+    return j.select("run", "artifact", "file", reason.alias("reason"))
 
 
 def read_catalog_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -129,9 +191,7 @@ def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def shard(rows: DataFrame, order: list[str], n: int, i: int) -> DataFrame:
     """Every n-th row in an order, from the i-th: for work that is handed to separate processes."""
-    from pyspark.sql import Window
-
-    return rows.withColumn("q_at", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("q_at") % n == i).drop("q_at")
+    return numbered(rows, order, "q_at").where(F.col("q_at") % n == i).drop("q_at")
 
 
 def combine_summaries(shards: DataFrame, weight: str, sums: list[str], means: list[str]) -> DataFrame:
@@ -140,7 +200,9 @@ def combine_summaries(shards: DataFrame, weight: str, sums: list[str], means: li
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A Markdown table of at most `most` rows."""
-    rows = df.limit(most).collect()
+    """A Markdown table. A report is small by contract: more than `most` rows are refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
     line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
     return "\n".join([line(df.columns), line("---" for _ in df.columns), *(line(r) for r in rows)])
