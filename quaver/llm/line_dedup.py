@@ -7,8 +7,9 @@ at least `similar` of the positions stay constant, the line's template is what i
 template that occurs in at least min_docs documents recurs: its lines are dropped from all documents but the one with the
 smallest doc_id, and, within that one, all but the first.
 
-Scale: the leaves are counted from hashes alone, so the tokens of lines in rare leaves, nearly all, go no further. Counts are
-combined before every shuffle, and joins on hot leaves or templates have exchanges that adaptive execution may split. Texts
+Scale: the leaves are counted from hashes alone, so the tokens of lines in rare leaves, nearly all, go no further; those of
+the rest are one row each, never a list. Counts are combined before every shuffle, and joins on hot templates have exchanges
+that adaptive execution may split. Texts
 are joined back once, by a row key, and only those that lose a line are rebuilt.
 
 Nulls stay null. Lines of under min_tokens tokens say too little for a template with fields: they are their own, exact ones,
@@ -48,20 +49,22 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, sim
     reached = lines.select("doc", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     reached = materialize(reached, "leaves")
     busy = lines.join(broadcast_if_small(reached, reached.count()), "leaf", "left_semi")
-    busy = materialize(busy.select("doc", "mark", "pos", "leaf", F.xxhash64("tokens").alias("raw"), _mask(F.col("tokens")).alias("tokens")), "busy-lines")
+    line = F.monotonically_increasing_id().alias("line")  # fixed by being written
+    busy = materialize(busy.select(line, "doc", "mark", "pos", "leaf", F.xxhash64("tokens").alias("raw"), _mask(F.col("tokens")).alias("tokens")), "busy-lines")
     short = F.size("tokens") < min_tokens
     exact = busy.where(short).select("doc", "mark", "pos", F.col("raw").alias("template"))
     busy = busy.where(~short)
-    spots = busy.select("doc", "leaf", F.posexplode("tokens").alias("at", "token")).select("doc", "leaf", "at", F.xxhash64("token").alias("token"))
-    constant = spots.distinct().groupBy("leaf", "at", "token").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
-    constant = constant.groupBy("leaf", "at").agg(F.collect_set("token").alias("tokens"))
-    # per leaf and position at most documents / min_docs tokens are constant; as an array of arrays by position
-    known = constant.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "tokens"))).alias("known"))
-    joined = busy.join(known, "leaf", "left")
-    general = F.transform("tokens", lambda t, i: F.when(F.array_contains(F.coalesce(F.try_element_at("known", i), F.array().cast("array<bigint>")), F.xxhash64(t)), t).otherwise("<*>"))
-    joined = joined.withColumn("general", general)
-    stays = F.size(F.filter("general", lambda t: t != "<*>")) >= similar * F.size("tokens")
-    return joined.select("doc", "mark", "pos", F.when(stays, F.xxhash64("general")).otherwise(F.col("raw")).alias("template")).unionAll(exact)
+    # one long row a token: no row holds a leaf, and a hot leaf is as many keys as it has tokens
+    variable = F.xxhash64(F.lit("<*>"))
+    spots = busy.select("line", "doc", "mark", "pos", "leaf", "raw", F.posexplode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("at", "token"))
+    constant = spots.where(F.col("token") != variable).select("doc", "leaf", "at", "token").distinct().groupBy("leaf", "at", "token").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    constant = materialize(constant.select("leaf", "at", "token", F.lit(True).alias("stays")), "constant")
+    told = spots.join(broadcast_if_small(constant, constant.count()), ["leaf", "at", "token"], "left")
+    # a line's template is a sum over its tokens, combined before the shuffle: constant ones at their places, the others as one
+    part = F.xxhash64("at", F.when(F.col("stays"), F.col("token")).otherwise(variable)).cast("decimal(20,0)")
+    lines = told.groupBy("line", "doc", "mark", "pos", "leaf", "raw").agg(F.sum(part).alias("general"), F.count("*").alias("n"), F.count("stays").alias("stays"))
+    template = F.when(F.col("stays") >= similar * F.col("n"), F.xxhash64("leaf", "general")).otherwise(F.col("raw"))
+    return lines.select("doc", "mark", "pos", template.alias("template")).unionAll(exact)
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -86,15 +89,14 @@ def line_report(docs: DataFrame, **options) -> DataFrame:
 def drop_recurring_lines(docs: DataFrame, drop_empty: bool = True, counted: bool = False, **options) -> DataFrame:
     """docs, all columns, without lines of recurring templates. counted adds n_lines and n_dropped instead of the other columns."""
     gone = materialize(dropped_lines(docs, **options), "dropped").groupBy("doc", "mark").agg(F.collect_set("pos").alias("gone"))
-    gone = gone.select(F.col("doc").alias("q_doc"), F.col("mark").alias("q_mark"), F.col("gone").alias("q_gone"))
-    text = docs["text"].cast("string")
-    joined = docs.join(gone, docs["doc_id"].cast("string").eqNullSafe(gone["q_doc"]) & (F.xxhash64(text) == gone["q_mark"]), "left")
-    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("q_gone", i))
-    left = F.when(F.col("q_gone").isNull(), text).otherwise(F.concat_ws("\n", kept))
-    emptied = F.col("q_gone").isNotNull() & ~F.exists(kept, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    text, at = docs["text"].cast("string"), gone["gone"]  # columns of one side or the other, whatever their names
+    joined = docs.join(gone, docs["doc_id"].cast("string").eqNullSafe(gone["doc"]) & (F.xxhash64(text) == gone["mark"]), "left")
+    kept = F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(at, i))
+    left = F.when(at.isNull(), text).otherwise(F.concat_ws("\n", kept))
+    emptied = at.isNotNull() & ~F.exists(kept, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     if counted:
-        n = F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long")
-        return joined.select("doc_id", left.alias("text"), F.when(text.isNull(), 0).otherwise(n).alias("n_lines"), F.when(F.col("q_gone").isNull(), 0).otherwise(F.size("q_gone")).cast("long").alias("n_dropped"))
+        n = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("long")  # from a line's first token to its end
+        return joined.select(docs["doc_id"], left.alias("text"), F.when(text.isNull(), 0).otherwise(n).alias("n_lines"), F.when(at.isNull(), 0).otherwise(F.size(at)).cast("long").alias("n_dropped"))
     if drop_empty:
         joined = joined.where(~emptied)
     return joined.select(*(left.alias(c) if c == "text" else docs[c] for c in docs.columns))
