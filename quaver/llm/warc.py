@@ -5,11 +5,14 @@ header columns that Spark pushes down are tried on it, and the block of a record
 for, is passed over (by a seek in plain files) without being decoded.
 
 Writing: each task writes files under names of its own attempt and reports them; the commit writes a manifest of the reported
-files, which is what readers read. Files of lost executors and repeated attempts are never in it.
+files, one a write. Readers read the files of all manifests since the last overwrite, so appends add up, and files of lost
+executors and repeated attempts are in none. White space and control characters in addresses are percent-encoded.
 
 Files are opened through pyarrow's file systems, so a path is a folder of any store they know (file, hdfs, s3, gs).
 
 archive_pages() writes one record a page: of equal payloads, the smallest page_id is a response and the others revisit it.
+Null and empty html are empty payloads; a payload of any length is one record, held whole by the task that writes or checks it;
+rows that repeat are records of their own; an empty table makes an archive without records.
 """
 
 from __future__ import annotations
@@ -18,6 +21,9 @@ import base64
 import gzip
 import hashlib
 import json
+import re
+import time
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +37,7 @@ from .common import broadcast_if_small, materialize, scratch_path
 COLUMNS = "record_id string, record_type string, target_uri string, date string, content_type string, content_length bigint, payload_digest string, payload_length bigint, refers_to string, headers map<string,string>, payload binary"
 #: Header field of each column.
 FIELD = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
-SPLIT, ROLL, MANIFEST = 64 << 20, 256 << 20, "_manifest.json"
+SPLIT, ROLL = 64 << 20, 256 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -57,45 +63,50 @@ class Committed(WriterCommitMessage):
 
 
 class _Plain:
-    """Bytes of a plain file; skip() does not read them."""
+    """Bytes of a plain file from place at of what is held, which is only moved when more is read; skip() does not read."""
 
     def __init__(self, file, block: int = 1 << 20):
-        self.file, self.block, self.held, self.size = file, block, b"", file.size()
-        self.at = 0
+        self.file, self.block, self.held, self.at, self.size = file, block, b"", 0, file.size()
+
+    def more(self, n: int) -> bytes:
+        """At least n further bytes, if there are as many."""
+        return self.file.read(max(self.block, n))
 
     def fill(self, n: int) -> bool:
-        """Holds n bytes if there are as many."""
-        if len(self.held) < n:
-            self.held += self.file.read(max(self.block, n - len(self.held)))
-        return len(self.held) >= n
+        """Holds n bytes from at on, if there are as many."""
+        short = n - (len(self.held) - self.at)
+        if short > 0:
+            self.held, self.at = self.held[self.at :] + self.more(short), 0
+        return len(self.held) - self.at >= n
 
     def head(self) -> bytes | None:
         """Up to and without the next blank line; None at the end."""
-        at = 0
-        while (end := self.held.find(b"\r\n\r\n", max(0, at - 3))) < 0:
-            at = len(self.held)
-            if not self.fill(at + 1):
-                if self.held.strip():
+        seen = 0
+        while (end := self.held.find(b"\r\n\r\n", self.at + max(0, seen - 3))) < 0:
+            seen = len(self.held) - self.at
+            if not self.fill(seen + 1):
+                if self.held[self.at :].strip():
                     raise ValueError("a record header is cut off")
                 return None
-        out, self.held = self.held[:end], self.held[end + 4 :]
+        out, self.at = self.held[self.at : end], end + 4
         return out
 
     def take(self, n: int) -> bytes:
         if not self.fill(n):
             raise ValueError("a record is cut off")
-        out, self.held = self.held[:n], self.held[n:]
+        out, self.at = self.held[self.at : self.at + n], self.at + n
         return out
 
     def skip(self, n: int) -> None:
-        if n <= len(self.held):
-            self.held = self.held[n:]
+        held = len(self.held) - self.at
+        if n <= held:
+            self.at += n
             return
-        to = self.file.tell() + n - len(self.held)
+        to = self.file.tell() + n - held
         if to > self.size:
             raise ValueError("a record is cut off")
         self.file.seek(to)
-        self.held = b""
+        self.held, self.at = b"", 0
 
 
 class _Gzip(_Plain):
@@ -105,30 +116,26 @@ class _Gzip(_Plain):
         super().__init__(file, block)
         self.z, self.raw = zlib.decompressobj(31), b""
 
-    def fill(self, n: int) -> bool:
-        parts, have = [self.held], len(self.held)
+    def more(self, n: int) -> bytes:
+        parts, have = [], 0
         while have < n:
             self.raw = self.raw or self.file.read(self.block)
             if not self.raw:
                 break
-            out = self.z.decompress(self.raw)
+            parts.append(self.z.decompress(self.raw))
+            have += len(parts[-1])
             self.raw = self.z.unused_data
             if self.z.eof:
                 self.z = zlib.decompressobj(31)
-            elif self.raw == b"":
-                pass
-            parts.append(out)
-            have += len(out)
-        self.held = b"".join(parts)
-        return have >= n
+        return b"".join(parts)
 
     def skip(self, n: int) -> None:
-        while n > len(self.held):
-            n -= len(self.held)
-            self.held = b""
+        while n > (held := len(self.held) - self.at):
+            n -= held
+            self.held, self.at = b"", 0
             if not self.fill(1):
                 raise ValueError("a record is cut off")
-        self.held = self.held[n:]
+        self.at += n
 
 
 def parse_head(head: bytes) -> dict[str, str]:
@@ -179,9 +186,11 @@ class WarcReader(DataSourceReader):
             found = [(info.path, info.size)]
         else:
             listed = {x.base_name: x for x in system.get_file_info(fs.FileSelector(local, recursive=False)) if x.type == fs.FileType.File}
-            if MANIFEST in listed:
-                with system.open_input_stream(listed[MANIFEST].path) as f:
-                    found = [(f"{local}/{n}", s) for n, _, s in json.loads(f.read())["files"]]
+            if told := manifests(listed):
+                found = []
+                for name in told:
+                    with system.open_input_stream(listed[name].path) as f:
+                        found += [(f"{local}/{n}", s) for n, _, s in json.loads(f.read())["files"]]
             else:
                 found = [(x.path, x.size) for n, x in listed.items() if n.endswith((".warc", ".warc.gz"))]
         groups: list[list[str]] = []
@@ -244,7 +253,7 @@ def record(r: dict) -> bytes:
     block = http if r["record_type"] == "revisit" else http + payload
     head = ["WARC/1.1", f"WARC-Type: {r['record_type']}", f"WARC-Record-ID: {r['record_id']}", f"WARC-Date: {r['date']}"]
     if r["target_uri"]:
-        head.append("WARC-Target-URI: " + "".join(r["target_uri"].split()))
+        head.append("WARC-Target-URI: " + _BLANK.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), r["target_uri"]))
     head.append(f"WARC-Payload-Digest: {r['payload_digest']}")
     if r["record_type"] == "revisit":
         head += [f"WARC-Refers-To: {r['refers_to']}", f"WARC-Profile: {_PROFILE}", f"X-Payload-Length: {r['payload_length']}"]
@@ -252,9 +261,21 @@ def record(r: dict) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+_BLANK = re.compile(r"[\s\x00-\x1f\x7f]")
+
+
+def manifests(names) -> list[str]:
+    """The manifests to be read: those of the last overwrite and of the appends after it, or all appends."""
+    told = sorted(n for n in names if re.fullmatch(r"_manifest-\d{20}-(append|overwrite)-[0-9a-f]{32}\.json", n))
+    return told[max((i for i, n in enumerate(told) if "-overwrite-" in n), default=0) :]
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
+    """A write has an id of its own, in the names of its files and of its manifest; manifests are ordered by time of commit. An
+    overwrite is one manifest like any other, after which older ones count no more; their files go when it stands."""
+
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.path, self.overwrite, self.write_id = options["path"], overwrite, uuid.uuid4().hex
         self.gzip = options.get("compression", "none") == "gzip"
         self.roll = int(options.get("roll", ROLL))
 
@@ -273,7 +294,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is not None:
                         out.close()
                         files.append((name, n, size))
-                    name, n, size = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(files):04d}.warc{'.gz' * self.gzip}", 0, 0
+                    name, n, size = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(files):04d}-{self.write_id}.warc{'.gz' * self.gzip}", 0, 0
                     out = system.open_output_stream(f"{local}/{name}", buffer_size=1 << 20, compression=None)
                 out.write(data)
                 n, size = n + 1, size + len(data)
@@ -283,11 +304,20 @@ class WarcWriter(DataSourceArrowWriter):
         return Committed(files)
 
     def commit(self, messages: list[Committed | None]) -> None:
+        from pyarrow import fs
+
         system, local = open_fs(self.path)
         system.create_dir(local, recursive=True)
         told = {"files": [f for m in messages if m for f in m.files]}
-        with system.open_output_stream(f"{local}/{MANIFEST}") as f:
+        before = [x for x in system.get_file_info(fs.FileSelector(local, recursive=False)) if x.type == fs.FileType.File]
+        latest = max((int(m[1]) for x in before if (m := re.match(r"_manifest-(\d{20})-", x.base_name))), default=0)
+        at = max(time.time_ns(), latest + 1)  # after every one that stands, whatever the clocks say
+        with system.open_output_stream(f"{local}/_manifest-{at:020d}-{'overwrite' if self.overwrite else 'append'}-{self.write_id}.json") as f:
             f.write(json.dumps(told).encode())
+        if self.overwrite:
+            for x in before:
+                if self.write_id not in x.base_name and (x.base_name.startswith("_manifest-") or x.base_name.endswith((".warc", ".warc.gz"))):
+                    system.delete_file(x.path)
 
     def abort(self, messages: list[Committed | None]) -> None:
         system, local = open_fs(self.path)
@@ -311,7 +341,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
