@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, broadcast_if_small, materialize, string_buffers
+from .common import ALNUM, LOWER, Words, broadcast_if_small, chunks, materialize, shingles, slices, string_buffers
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
+WINDOW_BITS, MOST_BITS = 16, 1 << 30
 _TABLE = bytes(int(LOWER[b]) if ALNUM[LOWER[b]] else 0x20 for b in range(256))
 
 
@@ -178,7 +179,7 @@ def _scanner(automaton: Automaton | None):
     out = pa.schema([("key", pa.string()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             buf, offsets = string_buffers(batch.column(1))
             raw, at = buf.tobytes(), offsets.tolist()
             n, spans, items = [], [], []
@@ -199,29 +200,86 @@ _JOINED = (
 )
 
 
-def _merged(keyed: DataFrame, blocks: list[Automaton], hits_only: bool = False) -> DataFrame:
-    """row, n_words, spans, items of keyed rows (row, text) over all blocks; hits_only: of rows with a span."""
-    rows = keyed.select(F.col("row").cast("string").alias("key"), "text")
-    parts = [rows.mapInArrow(_scanner(a), f"key string, n_words bigint, spans {_SPANS}, items array<string>") for a in blocks]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
-    if hits_only:
-        every = every.where(F.size("spans") > 0)
+def _several(blocks: Iterator[Automaton]) -> tuple[Automaton | None, bool]:
+    """The first block, and whether there are more."""
+    first = next(blocks, None)
+    return first, next(blocks, None) is not None
+
+
+class Prefilter:
+    """A bit set of the hashes of all windows of a benchmark: a document without any has no hit."""
+
+    def __init__(self, benchmark: DataFrame, window: int, most_bits: int = MOST_BITS):
+        self.window, hashes, size = window, {}, 0
+        texts = benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null")
+        for row in texts.toLocalIterator():
+            raw = np.frombuffer(row.text.encode(), np.uint8)
+            words = Words(raw, np.array([0, len(raw)]), ALNUM, lower=True).hash
+            m = min(window, len(words))
+            if m:
+                hashes.setdefault(m, []).append(shingles(words, m))
+                size += len(words) - m + 1
+        self.lengths = sorted(hashes)
+        self.mask = np.uint64((1 << min(max(20, (WINDOW_BITS * size).bit_length()), most_bits.bit_length() - 1)) - 1)
+        self.bits = np.zeros(int(self.mask) // 8 + 1, np.uint8)
+        for parts in hashes.values():
+            at = np.unique(np.concatenate(parts) & self.mask)
+            np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+
+    def may_hit(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For each text whether a window may occur, and its number of words."""
+        buf, offsets = string_buffers(column)
+        hit, n = np.zeros(len(column), bool), np.zeros(len(column), np.int64)
+        for i, j, raw, at in chunks(buf, offsets):
+            w = Words(raw, at, ALNUM, lower=True)
+            n[i:j] = np.diff(w.first)
+            doc = np.repeat(np.arange(i, j), np.diff(w.first))
+            for m in self.lengths:
+                if len(doc) >= m:
+                    g = shingles(w.hash, m) & self.mask
+                    known = (self.bits[(g >> np.uint64(3)).astype(np.int64)] >> (g & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    hit[doc[: len(g)][known & (doc[: len(g)] == doc[m - 1 :])]] = True
+        return hit, n
+
+
+def _sifted(bits, column: str, wanted: bool, report: bool):
+    """The rows whose text may have a hit, or those whose text has none; of these, for a report, key and n_words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit, n = bits.value.may_hit(batch.column(batch.schema.get_field_index(column)).cast(pa.string()))
+            at = np.flatnonzero(hit == wanted)
+            rows = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n[at])], names=["key", "n_words"]) if report else rows
+
+    return run
+
+
+def _united(candidates: DataFrame, blocks: Iterator[Automaton]) -> DataFrame:
+    """row, n_words, spans, items of candidates (row, text) over all blocks, of rows with a span. One block at a time is held."""
+    rows = candidates.select(F.col("row").cast("string").alias("key"), "text")
+    every = None
+    for a in blocks:
+        found = materialize(rows.mapInArrow(_scanner(a), f"key string, n_words bigint, spans {_SPANS}, items array<string>").where(F.size("spans") > 0), "block")
+        every = found if every is None else every.unionAll(found)
     merged = every.groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return merged.select(F.col("key").cast("long").alias("row"), "n_words", F.expr(_JOINED).alias("spans"), "items")
 
 
 def match_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per row of docs: key (the id as a string), n_words, spans of hit words [a, b) and items (their ids, sorted).
-
-    More than one block of items: each row, by a key of its own, has the union of what the blocks find."""
+    """Per row of docs: key (the id as a string), n_words, spans of hit words [a, b) and items (their ids, sorted)."""
     rows = docs.select(F.col(id_col).cast("string").alias("key"), F.col("text").cast("string").alias("text"))
-    blocks = list(automata(benchmark, window, block_words))
-    if len(blocks) < 2:
-        return rows.mapInArrow(_scanner(blocks[0] if blocks else None), f"key string, n_words bigint, spans {_SPANS}, items array<string>")
-    keyed = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "keyed")
-    return keyed.select("row", "key").join(_merged(keyed, blocks), "row").drop("row")
+    first, more = _several(automata(benchmark, window, block_words))
+    schema = f"key string, n_words bigint, spans {_SPANS}, items array<string>"
+    if not more:
+        return rows.mapInArrow(_scanner(first), schema)
+    bits = docs.sparkSession.sparkContext.broadcast(Prefilter(benchmark, window))
+    candidates = materialize(rows.mapInArrow(_sifted(bits, "text", True, False), "key string, text string"), "candidates").withColumn("row", F.monotonically_increasing_id())
+    clean = rows.mapInArrow(_sifted(bits, "text", False, True), "key string, n_words bigint").select("key", "n_words", F.expr(f"cast(array() as {_SPANS})").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    united = _united(candidates, automata(benchmark, window, block_words))
+    hit = candidates.select("row", "key").join(united, "row").select("key", "n_words", "spans", "items")
+    missed = candidates.join(united, "row", "left_anti").select("key", "text").mapInArrow(_scanner(None), schema)
+    return clean.unionAll(hit).unionAll(missed)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -241,7 +299,7 @@ def _cutter(automaton: Automaton | None, min_span: int, max_coverage: float):
     """Cuts the spans of the automaton or, without one, those of the last column, which goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.schema.get_field_index("text"))):
             column = batch.schema.get_field_index("text")
             texts, keep = batch.column(column).to_pylist(), []
             given = None
@@ -281,14 +339,16 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = 1, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs, all columns, without hit spans of at least min_span words; documents whose such spans hold more than
     max_coverage of their words are dropped (0: every document with such a span). Clean texts stay as they are, nulls too."""
-    blocks = list(automata(benchmark, window, block_words))
-    if len(blocks) < 2:
-        return docs.mapInArrow(_cutter(blocks[0], min_span, max_coverage), docs.schema) if blocks else docs
+    first, more = _several(automata(benchmark, window, block_words))
+    if not more:
+        return docs.mapInArrow(_cutter(first, min_span, max_coverage), docs.schema) if first else docs
     # all blocks scan the whole text before anything is cut
-    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("d")), "keyed")
-    hits = materialize(_merged(keyed.select("row", F.col("d.text").cast("string").alias("text")), blocks, True).select("row", "spans"), "spans")
-    joined = keyed.join(broadcast_if_small(hits, hits.count()), "row", "left").select("d.*", "spans")
-    return joined.mapInArrow(_cutter(None, min_span, max_coverage), docs.schema)
+    bits = docs.sparkSession.sparkContext.broadcast(Prefilter(benchmark, window))
+    candidates = materialize(docs.mapInArrow(_sifted(bits, "text", True, False), docs.schema), "candidates")
+    candidates = candidates.select(F.monotonically_increasing_id().alias("row"), F.struct(*(candidates[c] for c in docs.columns)).alias("d"))
+    hits = materialize(_united(candidates.select("row", F.col("d.text").cast("string").alias("text")), automata(benchmark, window, block_words)).select("row", "spans"), "spans")
+    joined = candidates.join(broadcast_if_small(hits, hits.count()), "row", "left").select("d.*", "spans")
+    return docs.mapInArrow(_sifted(bits, "text", False, False), docs.schema).unionAll(joined.mapInArrow(_cutter(None, min_span, max_coverage), docs.schema))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
