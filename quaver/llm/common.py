@@ -29,9 +29,11 @@ _scope = ["session"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset (tests), a local one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset, and then only in local mode (tests), one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quaver-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -10,9 +10,10 @@ host towards its suffix, suffix towards the whole corpus, each with the weight o
 text x declared x host prior; a document is accepted if its best language is not "und" and has at least min_confidence.
 
 Scale: the text is read twice and never shuffled; all else are narrow rows. Every declared language is learned, unless the
-caller sets max_langs; the model takes BINS numbers a language, and a task counts for at most BLOCK languages at a time. Host and declared tables are broadcast only if counted small; otherwise joined by a shuffle, where a
-hot host is split. Nulls: a text without letters has no text evidence and is "und"; null declared, suffix or host are values
-of their own. With no declared language anywhere nothing can be learned and every document is "und".
+caller sets max_langs; the model takes BINS numbers a language, and a task counts for at most BLOCK languages at a time. Host
+and declared tables are broadcast only if counted small; otherwise joined by a shuffle, where a hot host is split. Nulls: a text
+without letters has no text evidence and is "und"; null declared, suffix or host are values of their own. Rows that repeat are
+told one by one. With no declared language anywhere nothing can be learned and every document is "und".
 """
 
 from __future__ import annotations

@@ -58,7 +58,7 @@ def least_shared_whole(n: int, k: int, percent: int) -> int:
 
 def _sets(n: int, k: int | None):
     """Per document: size, digest and sketch of its set of shingles (k None: the whole set), sorted as unsigned numbers."""
-    out = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("values", pa.list_(pa.int64()))] + ([("parity", pa.list_(pa.int64()))] if k is None else []))
+    names = ["key", "n", "digest", "values"] + ["parity"] * (k is None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,12 +75,12 @@ def _sets(n: int, k: int | None):
                         odd = np.bincount((own & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
                         parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 columns = [batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists(values, pa.int64())] + ([lists(parity, pa.int64())] if k is None else [])
-                yield pa.RecordBatch.from_arrays(columns, schema=out)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-_SET = "key bigint, n bigint, digest binary, values array<bigint>"
+_SET = "n bigint, digest binary, values array<bigint>"
 _WHOLE = f"{_SET}, parity array<bigint>"
 
 
@@ -124,8 +124,9 @@ def _listed(sets: DataFrame, percent: int) -> DataFrame:
 def _candidates(docs: DataFrame, percent: int, k: int, n: int) -> tuple[DataFrame, DataFrame]:
     """(sketched, sets): key, n, digest of every document, and rep, n, values (whole sets) of the classes that may have a partner."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.select(docs["doc_id"].cast("long").alias("key"), text.alias("text"))
-    sketched = materialize(rows.mapInArrow(_sets(n, k), _SET), "sketches")
+    rows = docs.select(docs["doc_id"].alias("key"), text.alias("text"))
+    key = f"key {docs.schema['doc_id'].dataType.simpleString()}"
+    sketched = materialize(rows.mapInArrow(_sets(n, k), f"{key}, {_SET}"), "sketches")
     classes = sketched.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("rep"), F.min("n").alias("n"), F.min("values").alias("values"))
     classes = materialize(classes, "classes")
     shared = _shared(classes.select("rep", "n", F.explode("values").alias("value"))).groupBy("rep", "n").agg(F.count("*").alias("s"))
@@ -134,7 +135,7 @@ def _candidates(docs: DataFrame, percent: int, k: int, n: int) -> tuple[DataFram
     alive = materialize(shared.where(F.col("s") >= least).select("rep"), "alive")
     chosen = broadcast_if_small(alive, alive.count())
     # a repeated doc_id may stand for several texts; the class's digest tells which is meant
-    wanted = rows.join(chosen, rows["key"] == chosen["rep"], "left_semi").mapInArrow(_sets(n, None), _WHOLE)
+    wanted = rows.join(chosen, rows["key"] == chosen["rep"], "left_semi").mapInArrow(_sets(n, None), f"{key}, {_WHOLE}")
     reps = classes.join(chosen, "rep", "left_semi").select(F.col("rep"), "digest")
     sets = wanted.join(reps, (wanted["key"] == reps["rep"]) & (wanted["digest"] == reps["digest"]), "left_semi")
     return sketched, materialize(sets.groupBy(F.col("key").alias("rep")).agg(F.min("n").alias("n"), F.min("values").alias("values"), F.min("parity").alias("parity")), "sets")
@@ -182,13 +183,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = K, n: int = SHI
     classes = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.where("copies > 1 or component is not null").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("c"))
     rows = sketched.select("key", "n", "digest").join(classes, (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("key").isNotNull(), "left")
-    kind = docs.schema["doc_id"].dataType
     component = F.coalesce("c", "key")
-    return rows.select(F.col("key").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+    return rows.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, k: int = K, n: int = SHINGLE) -> DataFrame:
-    """docs, all columns, without all but the first (by doc_id) of each group of near duplicates; of rows that repeat a doc_id one stays."""
+    """docs, all columns, without all but the first (by doc_id) of each group of near duplicates; of rows that repeat a doc_id the one whose
+    columns have the least hash stays."""
     r = materialize(near_duplicates(docs, percent, k, n), "near")
     total = r.count()
     gone = materialize(r.where("not kept").select("doc_id").distinct(), "gone")
@@ -196,6 +197,8 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, k: int = K, n: int
     named = r.where("doc_id is not null")
     repeated = named.groupBy("doc_id").count().where("count > 1")
     if total and not repeated.isEmpty():
-        null = left.where("doc_id is null")
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(null)
+        ids = repeated.select("doc_id")
+        several = left.join(ids, "doc_id", "left_semi")
+        one = several.groupBy("doc_id").agg(F.min_by(F.struct(*(several[c] for c in docs.columns)), F.xxhash64(F.to_json(F.struct(*(several[c] for c in docs.columns))))).alias("one"))
+        left = left.join(ids, "doc_id", "left_anti").select(*docs.columns).unionAll(one.select("one.*"))
     return left

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, materialize, slices
 from .tokens import default_tokenizer, text_ids
 
 SEQUENCE, QUANTUM, END, MAX_QUEUES, SHARE_BITS = 2048, 256, 1, 256, 20
@@ -44,8 +44,7 @@ def _tokenise(path: str, end: int):
         part, used = TaskContext.get().partitionId(), {}
         coder = text_ids(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                rows = batch.slice(lo, 500)
+            for rows in slices(batch, 2):
                 queues = rows.column(1).to_pylist()
                 ids = [x + mark for x in coder.ids(rows.column(2).to_pylist())]
                 n, at = [len(x) // 2 for x in ids], []

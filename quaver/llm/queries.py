@@ -32,6 +32,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "language", "text_language", "confidence", "accepted")
 
 
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over raw pages, with all four kinds of evidence: text, <html lang>, address suffix, host."""
+    pages = language_id.page_evidence(table(spark, sf_dir, "pages"))
+    found = language_id.identify(pages, id_col="page_id", declared="lang", suffix="suffix", host="source")
+    return found.select("page_id", "language", "text_language", "confidence", "accepted")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality_rules.assess(table(spark, sf_dir, "documents")).select(*columns)
@@ -64,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_minhash_dedup, op4_language_id, op5_quality_rules, op6_warc, op7_packing, op8_token_counts, op9_substring_dedup, op10_toxicity, pipeline)}
+    return {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_minhash_dedup, op4_language_id, op5_quality_rules, op6_warc, op7_packing, op8_token_counts, op9_substring_dedup, op10_toxicity, pipeline, language_id_pages)}
 
 
 _LOWER_AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -8,7 +8,7 @@ ordinal of its first document a running sum. Only summaries and end positions ar
 write_token_files() makes such files from documents. A task writes under a name of its own attempt and returns the name; only
 names returned by tasks that succeeded are in the manifest, so lost executors and repeated attempts leave no duplicates.
 
-Null and empty texts are documents of no ids. Ids after the last end id of a file are a document that is not terminated.
+Null and empty texts are documents of no ids; rows that repeat are documents of their own; a null doc_id stays null. Ids after the last end id of a file are a document that is not terminated.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import materialize, scratch_path, slices
 from .tokens import default_tokenizer, text_ids
 
 END_OF_TEXT = 50256
@@ -34,31 +34,39 @@ def _open(uri: str):
 
 
 def _write(folder: str, path: str, end: int):
-    out = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_ids", pa.int64())])
+    out = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_ids", pa.int64()), ("first", pa.int64()), ("docs", pa.list_(pa.string()))])
     mark = np.array([end], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, coder, n = TaskContext.get(), text_ids(path, plain=True), 0
+        task, coder, n, first = TaskContext.get(), text_ids(path, plain=True), 0, 0
         target = f"{folder}/tokens-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
         system, local = _open(target)
         system.create_dir(local.rpartition("/")[0], recursive=True)
         with system.open_output_stream(local) as file:
             for batch in batches:
-                for lo in range(0, batch.num_rows, 500):
-                    data = b"".join(x + mark for x in coder.ids(batch.column(0).slice(lo, 500).to_pylist()))
+                for rows in slices(batch, 0):
+                    data = b"".join(x + mark for x in coder.ids(rows.column(0).to_pylist()))
                     n += len(data) // 2
                     file.write(data)
-        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([target]), pa.array([n], pa.int64())], schema=out)
+                    if rows.num_columns > 1:
+                        docs = pa.array([rows.column(1).to_pylist()], pa.list_(pa.string()))
+                        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([None], pa.string()), pa.array([None], pa.int64()), pa.array([first], pa.int64()), docs], schema=out)
+                    first += rows.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([target]), pa.array([n], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.list_(pa.string()))], schema=out)
 
     return run
 
 
+def _written(docs: DataFrame, folder: str, path: str | None, end: int) -> DataFrame:
+    texts = docs.select(F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *([docs["doc_id"].cast("string").alias("doc")] if "doc_id" in docs.columns else []))
+    return materialize(texts.mapInArrow(_write(folder, path or default_tokenizer(), end), "shard bigint, path string, n_ids bigint, first bigint, docs array<string>"), "token-files")
+
+
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end: int = END_OF_TEXT) -> DataFrame:
     """Writes flat token files, one a partition, into folder (a URI that all executors share). Returns their manifest: shard, path, n_ids."""
-    texts = docs.select(F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    return materialize(texts.mapInArrow(_write(folder, path or default_tokenizer(), end), "shard bigint, path string, n_ids bigint"), "token-files")
+    return _written(docs, folder, path, end).where("path is not null").select("shard", "path", "n_ids")
 
 
 def _scan(block: int, end: int):
@@ -105,5 +113,11 @@ def scan_token_files(files: DataFrame, block: int = BLOCK, end: int = END_OF_TEX
 
 
 def token_counts(docs: DataFrame, path: str | None = None, block: int = BLOCK) -> DataFrame:
-    """Writes docs as flat token files in the shared folder and counts their documents' tokens by scanning them."""
-    return scan_token_files(write_token_files(docs, scratch_path(docs.sparkSession, "flat"), path), block)
+    """Writes docs as flat token files in the shared folder and counts their documents' tokens by scanning them: what the scan
+    finds, and the doc_id that the manifest has for each document of a file."""
+    made = _written(docs, scratch_path(docs.sparkSession, "flat"), path, END_OF_TEXT)
+    ids = made.where("docs is not null").select("shard", "first", F.posexplode("docs").alias("k", "doc"))
+    kind = docs.schema["doc_id"].dataType
+    ids = ids.select("shard", (F.col("first") + F.col("k")).alias("document"), F.col("doc").cast(kind).alias("doc_id"))
+    counts = scan_token_files(made.where("path is not null").select("shard", "path", "n_ids"), block)
+    return counts.join(ids, ["shard", "document"], "left").select("doc_id", *counts.columns)
