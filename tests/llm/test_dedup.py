@@ -100,6 +100,17 @@ def test_rows_that_repeat_or_have_no_id(spark):
     assert sorted(str(r.doc_id) for r in minhash_dedup.drop_near_duplicates(docs.unionAll(null)).collect()) == ["0", "1", "None"]
 
 
+def test_ids_may_be_strings(spark):
+    texts = near_texts()
+    want, _ = components(texts, 80)
+    docs = documents(spark, texts)
+    named = docs.selectExpr("concat('k', 1000 + doc_id) doc_id", *docs.columns[1:])
+    rows = sorted(minhash_dedup.near_duplicates(named).collect())
+    assert [r.component_id for r in rows] == [f"k{1000 + w}" for w in want]
+    twice = minhash_dedup.drop_near_duplicates(named.unionAll(named.selectExpr("doc_id", "concat(text, ' more')", *docs.columns[2:])))
+    assert twice.columns == docs.columns and len({r.doc_id for r in twice.collect()}) == twice.count()
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash_dedup.near_duplicates(documents(spark, [])).count() == 0
     assert minhash_dedup.drop_near_duplicates(documents(spark, [None, "", "a"])).count() == 3
@@ -111,6 +122,55 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{x: 100 for x in range(100, 130)}, **{x: 300 for x in (300, 301, 302)}}
 
 
+def brute_lines(texts, min_docs=10, depth=3, similar=0.7, min_tokens=3):
+    """For each text (its number is its id; those of one number in a list of pairs are one document) the places of the lines that go."""
+    leaves, lines = defaultdict(set), []
+    for doc, text in texts:
+        for pos, line in enumerate((text or "").split("\n")):
+            t = tuple(x for x in re.split(r"[\x20\t\x0b\x0c\r]+", line) if x)
+            if t:
+                m = tuple("<*>" if re.search("[0-9]", x) else x for x in t)
+                leaf = ("exact", t) if len(t) < min_tokens else (len(t), m[:depth])
+                leaves[leaf].add(doc)
+                lines.append((doc, text, pos, t, m, leaf))
+    lines = [x for x in lines if len(leaves[x[-1]]) >= min_docs]
+    held = defaultdict(set)
+    for doc, _, _, _, m, leaf in lines:
+        for at, x in enumerate(m):
+            held[leaf, at, x].add(doc)
+    named, docs = [], defaultdict(set)
+    for doc, text, pos, t, m, leaf in lines:
+        g = tuple(x if x != "<*>" and len(held[leaf, at, x]) >= min_docs else None for at, x in enumerate(m))
+        template = (leaf, g) if leaf[0] != "exact" and sum(x is not None for x in g) >= similar * len(g) else t
+        named.append((template, doc, text, pos))
+        docs[template].add(doc)
+    first = {}
+    for template, doc, _, pos in named:
+        first[template] = min(first.get(template, (doc, pos)), (doc, pos))
+    gone = defaultdict(set)
+    for template, doc, text, pos in named:
+        if len(docs[template]) >= min_docs and first[template] != (doc, pos):
+            gone[doc, text].add(pos)
+    return gone
+
+
+def test_lines_that_go_are_those_of_plain_counts(spark):
+    rng = random.Random(6)
+    texts = []
+    for i in range(120):
+        lines = [prose(rng.randrange(1, 12), i) if rng.random() < 0.5 else rng.choice(("Les.", "read more", f"page {i} of {i + 3}", f"user n{i} from {chr(97 + i % 7)} logged in today at noon", "a b c d", f"a b {chr(97 + i % 20)} d e")) for _ in range(rng.randrange(12))]
+        texts.append(rng.choice(("\n", "\r\n", "\n\n")).join(lines))
+    pairs = [*enumerate(texts + ODD), *enumerate(texts[:15]), (3, "another text\nLes.\nread more"), (4, None)]
+    docs = spark.createDataFrame([(str(i), t, "clash", 1) for i, t in pairs], "doc_id string, text string, gone string, stays int").repartition(4)
+    gone = brute_lines([(str(i), t) for i, t in pairs])
+    want = [(str(i), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[str(i), t])) for i, t in pairs]
+    got = [(r.doc_id, r.text) for r in line_dedup.drop_recurring_lines(docs, drop_empty=False).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(map(len, gone.values())) > 100
+    report = line_dedup.line_report(docs).collect()
+    assert sum(r.n_dropped for r in report) == sum(len(gone[str(i), t]) for i, t in pairs)
+    assert sum(r.n_lines for r in report) == sum(bool(x.strip(" \t\r\x0b\x0c")) for _, t in pairs for x in (t or "").split("\n"))
+
+
 def test_recurring_templates_go_but_for_the_first(spark):
     log = "user {} logged in from host {}"
     texts = [f"{prose(20, i)}\n{log.format(f'n{i}x', chr(97 + i) * 3)}\n{prose(12, 100 + i)}" for i in range(12)]
