@@ -15,6 +15,7 @@ from ..operators import sources as S
 from ..operators import tasks as T
 from .behaviour import VI, _expand, _segments, _top
 from .retrieval import INDEX, _bm25, _hit_sql, _NG, _UNIT
+from .store import stored
 from .texts import _CT, _grams
 from .views import ITEMS, NORM, PLAYS, VALUES, items, messages, plays, table, values
 
@@ -163,9 +164,15 @@ def _intents(s, d):
     return _tasks(s, d).select("q", X.intent(F.col("text")).alias("intent"))
 
 
+def _held(s, d) -> dict:
+    """The sources, each written once at its number of rows to fetch: profiles share them."""
+    found = _sources(s, d)
+    return {name: lambda n, name=name: stored(s, d, f"source-{name}-{n}", lambda: found[name](n).select("q", "item_id", "rank")) for name in found}
+
+
 def _profile(profile: str):
     def run(s, d):
-        return G.candidates(profile, _sources(s, d), _intents(s, d), ["q"])
+        return G.candidates(profile, _held(s, d), _intents(s, d), ["q"])
 
     return run
 

@@ -6,6 +6,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quaver.functions import text as X
 from quaver.operators import audit, features, fusion, generation, metrics, ranking, sources
@@ -25,7 +26,7 @@ def duck(sf_dir):
 
 
 #: One or two of each module; the driver compares all.
-SAMPLE = ["norm_text", "weighted_ngrams", "query_views", "tag_clean", "exact_ranked", "bm25_docs_top20", "continuity_album_artist_tag", "entity_recent2", "transition_recent1", "cross_session", "by_user_ladder", "rrf_union", "quota_union", "protect_prefix", "rank_only_v2", "blend", "hit_recall", "chat_batch", "turn_frame", "strata_sample"]
+SAMPLE = ["norm_text", "weighted_ngrams", "query_views", "tag_clean", "exact_ranked", "bm25_docs_top20", "continuity_album_artist_tag", "entity_recent2", "transition_recent1", "cross_session", "by_user_ladder", "rrf_union", "quota_union", "protect_prefix", "rank_only_v2", "blend", "hit_recall", "chat_batch", "turn_frame", "strata_sample", "label_memory_history_music", "cross_session_pools", "history_ids", "ltr_misc", "force_positive", "stratified_interval", "standardized_interval", "bootstrap_ci", "ledger_artifacts", "kinds_by_extension", "submission_rules", "task_shard", "correlations", "popularity_stream"]
 
 
 def plain(x):
@@ -46,9 +47,9 @@ def test_query_agrees_with_its_sql(spark, duck, sf_dir, name):
 
 
 def test_every_query_has_sql_or_says_so():
-    from quaver.plans import audits
+    from quaver.plans import audits, studies
 
-    assert set(registry.queries()) - set(registry.oracle_sql()) == set(audits.ROWS_ONLY)
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {*audits.ROWS_ONLY, *studies.ROWS_ONLY}
 
 
 def lists(spark, **by):
@@ -191,3 +192,60 @@ def test_generated_text_is_cleaned_or_replaced(spark):
     assert p.first().grounding == "title: Song; artist: Band; album: Album; tags: rock"
     out = dict(generation.generate(p, lambda texts: ["Response: *hello*", ""][: len(texts)] if len(texts) > 1 else [""], it, ["k"]).collect())
     assert all(v == "hello" or v.startswith("I think you'll really enjoy \"Song\" by Band") for v in out.values())
+
+
+def test_profiles_gate_and_cut_their_sources(spark):
+    from quaver.operators import registry as G
+
+    assert set(G.FETCH) == set(G.KEEP) == {n for p in G.PROFILES.values() for n in p} and len(G.PROFILES["G"]) == 20
+    ranked = spark.createDataFrame([(q, i, i) for q in (1, 2) for i in range(1, 200)], "q int, item_id int, rank int")
+    asked = []
+    found = {n: (lambda k, n=n: asked.append((n, k)) or ranked.where(f"rank <= {k}")) for n in ("exact_tag_current", "history_same_artist", "popularity_fallback", "metadata_bm25_full_context")}
+    intents = spark.createDataFrame([(1, "explicit_entity"), (2, "ambiguous")], "q int, intent string")
+    rows = G.candidates("G", found, intents, ["q"]).groupBy("source", "q").count().collect()
+    assert {(r.source, r.q): r["count"] for r in rows} == {("exact_tag_current", 2): 80, ("history_same_artist", 2): 100, ("popularity_fallback", 1): 50, ("popularity_fallback", 2): 50}
+    assert asked == [("exact_tag_current", 500), ("history_same_artist", 500), ("popularity_fallback", 200)]
+    assert {r.q for r in G.candidates("E", found, intents, ["q"]).where("source = 'history_same_artist'").collect()} == {1, 2}
+
+
+def test_numbers_by_ranges_are_row_numbers(spark):
+    rows = [(float((i * 7919) % 100), i) for i in range(5000)] + [(None, -1)]
+    df = spark.createDataFrame(rows, "x double, k int").repartition(7)
+    got = {r.k: r.n for r in ranking.numbered(df.where("x is not null"), ["x", "k"], "n").collect()}
+    assert got == {k: i for i, (x, k) in enumerate(sorted(rows[:-1]))}
+
+
+def test_a_list_that_is_not_full_is_an_error(spark):
+    df = spark.createDataFrame([(1, 1, 5, 1), (1, 1, 6, 2), (2, 1, 5, 1)], "session_id int, turn_number int, item_id int, rank int")
+    assert ranking.exactly(df.where("session_id = 1"), 2).count() == 2
+    with pytest.raises(Exception, match="not 2 items: 2:1"):
+        ranking.exactly(df, 2).collect()
+    with pytest.raises(Exception, match="truth value"):
+        spark.sql("select 'maybe' b").select(X.strict_bool(F.col("b"))).collect()
+
+
+def test_first_sight_in_another_session_counts(spark):
+    p = spark.createDataFrame([("u", "s1", 1, "a"), ("u", "s2", 1, "b"), ("u", "s2", 2, "a"), ("u", "s3", 1, "b"), (" ", "s4", 1, "a"), (None, "s5", 1, "a")], "user_id string, session_id string, turn_number int, item_id string")
+    tasks = spark.createDataFrame([("s1", 2, "u"), ("s2", 3, "u"), ("s9", 1, "u"), ("s8", 1, " ")], "session_id string, turn_number int, user_id string")
+    rows = sources.cross_session_pools(tasks, [p], 5).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r.rank):
+        got.setdefault(r.session_id, []).append((r.item_id, r.score))
+    assert got == {"s1": [("b", 2.0), ("a", 1.0)], "s2": [("a", 1.0), ("b", 1.0)], "s9": [("a", 2.0), ("b", 2.0)]}
+
+
+def test_lambdas_push_positives_up(spark):
+    from quaver.operators import learning
+
+    rows = [(1, 1, i, float(i == 3), float(-i)) for i in range(6)]
+    got = {r.item_id: r.y for r in learning.lambdas(spark.createDataFrame(rows, "session_id int, turn_number int, item_id int, label double, score double")).collect()}
+    assert got[3] > 0 and all(y < 0 for i, y in got.items() if i != 3) and abs(sum(got.values())) < 1e-9 and got[0] < got[5]
+
+
+def test_reports_and_batches_refuse_what_does_not_fit(spark, tmp_path):
+    df = spark.range(5).toDF("a")
+    assert files.markdown(df, 5).count("\n") == 6
+    with pytest.raises(ValueError, match="at most 4"):
+        files.markdown(df, 4)
+    with pytest.raises(ValueError, match="has not"):
+        files.append_batches([df.withColumnRenamed("a", "b")], f"file://{tmp_path}/x", df.schema)
