@@ -387,6 +387,16 @@ def test_passages_against_all_pairs_of_windows(spark):
     print("recall by words", sum(len(near[x] & found[x]) for x in near) / total)
 
 
+def test_few_texts_are_moved_that_no_join_needs(spark):
+    reps = spark.range(40_000).selectExpr("xxhash64(id) rep")
+    some = reps.limit(4_000)
+    for bits, most in ((1 << 26, 1_500), (1 << 12, 36_000)):  # a set that is too small lets more pass, and loses none
+        passed = reps.where(substring_dedup._sieve(some, bits)("rep"))
+        assert passed.join(some, "rep", "left_semi").count() == 4_000
+        assert passed.count() - 4_000 <= most
+    assert reps.where(substring_dedup._sieve(reps.limit(0))("rep")).count() == 0
+
+
 def test_rows_of_one_id_and_different_texts_are_told_apart(spark):
     p = prose(60, 5)
     docs = documents(spark, [prose(70, 1) + " " + p, prose(20, 2) + " " + p, p]).selectExpr("if(doc_id < 2, 'x', 'y') doc_id", "text", "lang", "source", "n_chars", "n_words", "keep")
