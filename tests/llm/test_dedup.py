@@ -257,6 +257,31 @@ def test_near_passages_meet_beyond_their_hubs(spark):
     assert found == set(range(24, 72))
 
 
+def test_near_passages_of_long_lists_all_meet(spark):
+    """Two near texts among forty that hold their signatures, and shingles of one another, but are similar to neither."""
+    import numpy as np
+
+    from quaver.llm.common import WHITE, Words
+
+    rng, texts, near = random.Random(4), [], set()
+    for k in range(16):
+        a = [f"p{k}w{i}" for i in range(60)]
+        b = [f"q{k}w{i}" if i == 30 else w for i, w in enumerate(a)]
+        signed = []
+        for w in (a, b):
+            raw = np.frombuffer(" ".join(w).encode(), np.uint8)
+            told = Words(raw, np.array([0, len(raw)]), WHITE, lower=True)
+            signed.append({(band, v) for band, _, vs, *_ in substring_dedup.joint_windows(told.hash, told.first, 46, 5, 3) for v in vs.tolist()})
+        if signed[0] & signed[1]:
+            near |= {len(texts), len(texts) + 1}
+        texts += [" ".join(a), " ".join(b)]
+        texts += [" ".join(f"r{k}w{i}v{rng.randrange(8)}" if i % 15 == 7 else w for i, w in enumerate(a)) for _ in range(40)]
+    assert len(near) >= 28
+    rows = substring_dedup.repeated_passages(documents(spark, texts)).collect()
+    assert near <= {r.doc_id for r in rows if r.kind == "near"}
+    assert substring_dedup.repeated_passages(documents(spark, texts), rounds=0).where("kind = 'near'").select("doc_id").distinct().count() >= len(near)
+
+
 def test_near_passages_are_reported_whole(spark):
     a, b = planted(1, 2000)
     rows = substring_dedup.repeated_passages(documents(spark, [" ".join(a), " ".join(b)])).collect()
