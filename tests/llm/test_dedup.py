@@ -282,6 +282,26 @@ def test_near_passages_of_long_lists_all_meet(spark):
     assert substring_dedup.repeated_passages(documents(spark, texts), rounds=0).where("kind = 'near'").select("doc_id").distinct().count() >= len(near)
 
 
+def test_near_copies_meet_by_their_contents(spark, monkeypatch):
+    """Copies with one edit each, at few places: twice as many make no more than about twice the rows of any table."""
+    made = {}
+
+    def counted(df, name, old=substring_dedup.materialize):
+        out = old(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialize", counted)
+    rows = []
+    for n in (40, 80):
+        made.clear()
+        texts = [" ".join(f"e{k}" if i == 20 + 8 * (k % 4) else f"w{i}" for i in range(64)) for k in range(n)]
+        found = substring_dedup.repeated_passages(documents(spark, texts), rounds=0)
+        assert found.select("doc_id").distinct().count() == n
+        rows.append(dict(made))
+    assert all(rows[1][name] <= 3 * max(count, 100) for name, count in rows[0].items()), rows
+
+
 def test_near_passages_are_reported_whole(spark):
     a, b = planted(1, 2000)
     rows = substring_dedup.repeated_passages(documents(spark, [" ".join(a), " ".join(b)])).collect()
