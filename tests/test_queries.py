@@ -249,3 +249,34 @@ def test_reports_and_batches_refuse_what_does_not_fit(spark, tmp_path):
         files.markdown(df, 4)
     with pytest.raises(ValueError, match="has not"):
         files.append_batches([df.withColumnRenamed("a", "b")], f"file://{tmp_path}/x", df.schema)
+
+
+def test_bm25_in_blocks_is_bm25(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quaver.operators import retrieval
+
+    texts = ["red ring", "red red bolt", "blue ring ring", "", None, "red ring", "old plate bolt"]
+    docs = spark.createDataFrame([(i % 6 if i != 3 else None, t) for i, t in enumerate(texts)] + [(2, "ring red bolt"), (None, "red")], "doc bigint, text string")
+    q = spark.createDataFrame([("a", "red ring ring"), ("b", "bolt"), ("c", "nothing like it"), ("a", "red ring ring")], "q string, text string")
+    rows = [(d, [w for w in (t or "").split()]) for d, t in docs.collect()]
+    mean, want = sum(len(w) for _, w in rows) / len(rows), {}
+    tf = {}
+    for d, w in rows:
+        for t in w:
+            tf[t, d, len(w)] = tf.get((t, d, len(w)), 0) + 1
+    for key, text in {("a", "red ring"), ("b", "bolt")}:
+        for t in text.split():
+            df = sum(1 for x in tf if x[0] == t)
+            for (term, d, dl), n in tf.items():
+                if term == t:
+                    want[key, d] = want.get((key, d), 0) + math.log(1 + (len(rows) - df + 0.5) / (df + 0.5)) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * dl / mean))
+    for queries, documents in ((1 << 17, 1 << 16), (1, 2)):
+        monkeypatch.setattr(retrieval, "BM25_QUERIES", queries)
+        monkeypatch.setattr(retrieval, "BM25_DOCUMENTS", documents)
+        found = retrieval.Bm25(docs, "doc", F.col("text")).top(q, ["q"], F.col("text"), 9)
+        assert "CoGroup" in found._jdf.queryExecution().executedPlan().toString()  # pairs of a query and a document are never rows
+        got = {(r.q, r.item_id): r.score for r in found.collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in got)
+    assert [r.rank for r in found.where("q = 'a'").orderBy("rank").collect()] == list(range(1, 1 + sum(k == "a" for k, _ in want)))
+    assert retrieval.Bm25(docs.where("false"), "doc", F.col("text")).top(q, ["q"], F.col("text"), 9).count() == 0
