@@ -280,3 +280,18 @@ def test_bm25_in_blocks_is_bm25(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in got)
     assert [r.rank for r in found.where("q = 'a'").orderBy("rank").collect()] == list(range(1, 1 + sum(k == "a" for k, _ in want)))
     assert retrieval.Bm25(docs.where("false"), "doc", F.col("text")).top(q, ["q"], F.col("text"), 9).count() == 0
+
+
+def test_rows_are_not_dealt_by_stratum(spark, sf_dir):
+    plan = registry.queries()["stratified_interval"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(o_orderpriority" not in "".join(x for x in plan.splitlines() if "Sort" not in x and "REPARTITION" in x)
+    assert "SortMergeJoin [o_orderpriority" not in plan
+
+
+def test_a_hash_is_computed_once_a_replicate(spark):
+    df = spark.createDataFrame([(1, 2)], "g int, n int")
+    plan = audit._replicated(df, "g", 9, "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+    got = sorted((r.replicate, r.k) for r in audit._replicated(df, "g", 50, "s").collect())
+    want = df.select(F.explode(F.sequence(F.lit(1), F.lit(50))).alias("i"), "g").select("i", audit.resample("s", F.col("g"), F.col("i")).alias("k")).where("k > 0").collect()
+    assert got == sorted((r.i, r.k) for r in want)
