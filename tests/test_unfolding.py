@@ -63,3 +63,15 @@ def test_without_items_there_are_no_rows(spark, tables):
     v, h = tables
     assert sources.continuity(h, v.where("false"), sources.value_index(v.where("false")), "album", 9).count() == 0
     assert sources.history_same(h.where("false"), v, sources.value_index(v), 1, 9).count() == 0
+
+
+def test_transition_by_lists_is_transition_by_joins(spark, tables, monkeypatch):
+    v, h = tables
+    train = h.select((h["session_id"] + 1000).alias("session_id"), "turn_number", "item_id", "recency")
+    labels = train.select("session_id", "turn_number", ((train["session_id"] * 7) % 300).alias("label")).distinct()
+    run = lambda: sources.transition(h, v, sources.transition_index(train, labels, v, sources.value_index(v), "artist_album"), "artist_album", 30)
+    df = run()
+    assert not shuffled_after_lists(df)
+    got = sorted(df.collect())
+    monkeypatch.setattr(unfolding, "MOST", 0)
+    assert sorted(run().collect()) == got and got
