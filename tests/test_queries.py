@@ -295,3 +295,41 @@ def test_a_hash_is_computed_once_a_replicate(spark):
     got = sorted((r.replicate, r.k) for r in audit._replicated(df, "g", 50, "s").collect())
     want = df.select(F.explode(F.sequence(F.lit(1), F.lit(50))).alias("i"), "g").select("i", audit.resample("s", F.col("g"), F.col("i")).alias("k")).where("k > 0").collect()
     assert got == sorted((r.i, r.k) for r in want)
+
+
+def test_key_lists_are_cut_before_they_unfold(spark):
+    from quaver.operators import retrieval
+
+    v = spark.createDataFrame([(i, 1, f"name {n}", float(i % 5)) for i in range(40) for n in range(i % 3)] + [(i, 2, "long name 0", 1.0) for i in range(30)], "item_id int, field int, value string, popularity double").distinct()
+    q = spark.createDataFrame([("q", "the long name 0 or name 1")], "q string, text string")
+    hits = retrieval.exact_hits(q, retrieval.exact_index(v), ["q"], F.col("text"), 4)
+    for of in (retrieval.exact_ranked, retrieval.exact_by_field):
+        cut = of(hits, ["q"], 4)
+        assert "WindowGroupLimit [field" in cut._jdf.queryExecution().executedPlan().toString()
+        whole = of(hits.withColumn("pop_rank", F.col("pop_rank") * 0 - 1 if of is retrieval.exact_ranked else F.col("pop_rank")), ["q"], 4)
+        assert sorted(cut.collect()) == sorted(whole.collect())
+    by = {}
+    for r in hits.collect():
+        by.setdefault(r.field, {}).setdefault(r.item_id, []).append((r.ngram_rank, r.pop_rank))
+    want = {(f, i) for f, x in by.items() for i in sorted(x, key=lambda i: (min(x[i]), i))[:4]}
+    assert {(r.field, r.item_id) for r in retrieval.exact_by_field(hits, ["q"], 4).collect()} == want
+
+
+def test_cosine_does_not_depend_on_blocks(spark, monkeypatch):
+    from quaver.operators import retrieval
+
+    rows = [(i, [math.sin(i * (k + 1)) for k in range(4)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "item_id int, v array<double>")
+    q = v.select(F.col("item_id").alias("k"), F.col("v").alias("q"))
+    whole = sorted(retrieval.cosine_top(q, v, ["k"], 5).collect())
+    for queries, items, strip in ((1 << 16, 1 << 16, 7), (20, 25, 8), (7, 60, 1)):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", queries)
+        monkeypatch.setattr(retrieval, "ITEM_BLOCK", items)
+        monkeypatch.setattr(retrieval, "STRIP", strip)
+        assert sorted(retrieval.cosine_top(q, v, ["k"], 5).collect()) == whole
+    assert len(whole) == 295  # the first vector is zero
+
+
+def test_fusion_deals_rows_once(spark):
+    plan = fusion.rrf(lists(spark, a=["x", "y"], b=["y", "z"]), None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
