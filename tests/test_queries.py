@@ -333,3 +333,12 @@ def test_cosine_does_not_depend_on_blocks(spark, monkeypatch):
 def test_fusion_deals_rows_once(spark):
     plan = fusion.rrf(lists(spark, a=["x", "y"], b=["y", "z"]), None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_plays_are_dealt_once_by_user_and_item(spark):
+    p = spark.createDataFrame([("u", 1, 1, 7), ("u", 2, 1, 7), ("v", 3, 1, 8)], "user_id string, session_id int, turn_number int, item_id int")
+    t = p.select("session_id", "turn_number", "user_id").distinct()
+    for df in (sources.cross_session(t, p), sources.cross_session_pools(t, [p])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert f"hashpartitioning(user_id, item_id, {ranking.SPREAD})" in __import__("re").sub(r"#\d+L?", "", plan)
+        assert [(r.session_id, r.item_id) for r in df.orderBy("session_id").collect()] == [(1, 7), (2, 7)]
